@@ -6,17 +6,20 @@
 2. Representatives are posted under each (coordinate, value). Postings are ordered
    by global frequency; two signatures with at least ``matches`` equal coordinates
    must meet in the first ``coordinates - matches + 1`` (prefix). Values that one
-   text alone has count as taken but are never posted (skip).
+   text alone has count as taken but are never posted.
 3. In each posting list the most central member (fewest values of its own) is paired
    with the others; pairs are merged with a count of collisions, those whose
    signatures agree in fewer than ``matches`` coordinates go, and the rest is
    confirmed on the full sets. A list costs its length, not its square.
-4. The rest, exactly: members of lists that still hold more than one component meet
-   by a prefix-filtered join on their full sets (rarest shingles first, length and
-   positional filters), only across components. No link between such texts is lost.
+4. The rest, without loss: lists that still hold more than one component. Those of at
+   most SHORT members are joined with themselves across components, with the length
+   filter and the collision count (on four bits a coordinate, which only ever counts
+   too many) inside the join. Longer ones are skipped by that merge; their members meet
+   by an exact prefix-filtered join on full sets instead (rarest shingles first, length
+   and positional filters). Both only look across components.
 
-With 64 coordinates and 34 matches, texts at exactly the threshold of 0.8 fail to
-become candidates with probability below 2e-6, and less the more alike they are.
+With 64 coordinates and 37 matches, texts at exactly the threshold of 0.8 fail to
+become candidates with probability below 2e-5, and far less the more alike they are.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing;
 a text of fewer words than a shingle has one shingle of all its words; rows that share
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import kernel as K
 from quillgrid.llm.graph import components
-from quillgrid.llm.scratch import settle, small
+from quillgrid.llm.scratch import discard, release, settle, small
 
-COORDINATES, MATCHES = 64, 34
+COORDINATES, MATCHES = 64, 37
+#: Lists up to this length are joined with themselves; longer ones go the other exact way.
+SHORT = 64
 
 
 def shingle_sets(batch: pa.RecordBatch, words_each: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -72,34 +77,60 @@ class Signer:
         return np.min(least, axis=0)
 
 
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a 64-bit number."""
+    four = (signature & np.uint32(15)).astype(np.uint64)
+    four = np.concatenate([four, np.zeros(-len(four) % 16, np.uint64)]).reshape(-1, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def unlike(x: str, y: str, coordinates: int) -> Column:
+    """In how many coordinates the nibbles of two signatures differ."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for i in range(-(-coordinates // 16)):
+        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        total = total + F.bit_count(d.bitwiseAND(ones))
+    return total
+
+
 def sketches(docs: DataFrame, words_each: int, coordinates: int, least: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig): set size, 128-bit key of the set, signature (null for sets under ``least``)."""
+    """(doc_id, n_shingles, k1, k2, sig, nib): set size, 128-bit key of the set, signature and its nibbles (null for sets under ``least``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(coordinates)
         for whole in batches:
             for batch in K.batches(whole, "text"):
-                n, keys, sig = [], [], []
+                n, keys, sig, nib = [], [], [], []
                 for _, s in shingle_sets(batch, words_each):
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    sig.append(sign(s).view(np.int32) if len(s) >= least else None)
+                    m = sign(s) if len(s) >= least else None
+                    sig.append(None if m is None else m.view(np.int32))
+                    nib.append(None if m is None else nibbles(m))
                 k = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sig, pa.list_(pa.int32())), pa.array(nib, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "sig", "nib"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<int>, nib array<bigint>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``ids`` (doc_id), found again from their texts."""
+    """(doc_id, shingles) of the documents in ``ids`` (doc_id, k1), found again from their texts; k1 picks the text among rows that share a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.batches(whole, "text"):
-                sets = [s.view(np.int64) for _, s in shingle_sets(batch, words_each)]
-                yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id", "left_semi")
+                k1 = batch.column(2).to_pylist()
+                at, sets = [], []
+                for i, s in shingle_sets(batch, words_each):
+                    if np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)[0] == k1[i]:
+                        at.append(i)
+                        sets.append(s.view(np.int64))
+                yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id").select("doc_id", "text", "k1")
     return wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
@@ -115,54 +146,99 @@ def rare_first(items: DataFrame, total: Column, take: Column) -> DataFrame:
     return ranked.select("id", "n", "own", F.posexplode(F.slice("keys", 1, F.col("left").cast("int"))).alias("i", "k")).select("id", "n", "own", F.col("k.key").alias("key"), (F.col("own") + F.col("i")).cast("int").alias("pos"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b), a settled table, whose full sets meet the threshold. Each side's set is joined by its id; a hot id's rows can be split."""
-    ids = settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    sets = settle(full_sets(docs, ids, words_each).dropDuplicates(["doc_id"]), "sets")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(signed.select("id", "k1"), "id")
+    ids = settle(ids.withColumnRenamed("id", "doc_id"), "ids")
+    sets = settle(full_sets(docs, ids, words_each), "sets")
     got = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    return got.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = settle(got.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    discard(ids, sets, pairs)
+    return links
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept) of every row of ``docs`` (doc_id, text, ...)."""
-    if not 0 < percent <= 100:
-        raise ValueError("percent is over 0 and at most 100")
-    # A set so small that one more shingle breaks the threshold is like equal sets only.
-    least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
-    sketch = settle(sketches(docs, words_each, coordinates, least), "sketch")
-    real = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    member = settle(real.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2"]).select("doc_id", "class_id", "n_shingles", "k1", "k2"), "member")
-    reps = member.where("doc_id = class_id").select("doc_id", "k1", "k2").distinct()
-    signed = settle(sketch.where("sig is not null").join(reps, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"]), "signed")
-
+def _postings(signed: DataFrame, coordinates: int, matches: int) -> DataFrame:
     items = signed.select("id", "n", F.posexplode("sig").alias("c", "v")).select("id", "n", ((F.col("v").cast("bigint") + 2**31) * coordinates + F.col("c")).alias("key"))
-    posts = settle(rare_first(items, F.lit(coordinates), F.lit(coordinates - matches + 1)), "posts")
+    posts = rare_first(items, F.lit(coordinates), F.lit(coordinates - matches + 1))
+    return settle(posts.select("id", "own", "key"), "posts")
+
+
+def _stars(posts: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
+    """(a, b): each list's most central member with the others, where signatures agree often enough."""
     lists = posts.groupBy("key").agg(F.min(F.struct("own", "id")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("lead.id").alias("a"))
     pairs = posts.join(lists, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    pairs = settle(pairs.join(signed.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(signed.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").where(agree >= matches).select("a", "b"), "pairs")
-    # Rows that share a doc_id are one document, so their classes are linked.
-    same = member.groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).where("u <> v")
-    same = member.join(same.select("doc_id", "u"), "doc_id").select("u", F.col("class_id").alias("v")).unionByName(member.where("doc_id <> class_id").join(same.select("doc_id", "u"), "doc_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")))
-    links = confirmed(pairs, docs, words_each, percent).unionByName(same)
-    first = settle(components(links), "first")
+    signs = signed.select("id", "sig")
+    pairs = pairs.join(signs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(signs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+    return settle(pairs.where(agree >= matches).select("a", "b"), "pairs")
 
-    placed = settle(posts.select("id", "key").join(first, posts["id"] == first["node"], "left").select("id", "key", F.coalesce("component", "id").alias("component")), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = settle(placed.join(open_keys, "key", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct(), "rest")
-    sets = full_sets(docs, rest.select("doc_id"), words_each).dropDuplicates(["doc_id"])
+
+def _short_lists(placed: DataFrame, signed: DataFrame, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """(a, b) across components in lists of at most SHORT members, by the collision count on nibbles."""
+    posts = placed.join(signed.select("id", "n", "nib"), "id")
+    x, y = posts.alias("x"), posts.alias("y")
+    meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (unlike("x.nib", "y.nib", coordinates) <= coordinates - matches))
+    return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _long_lists(rest: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """(a, b) across components among ``rest`` (doc_id, k1, component), by an exact prefix join on full sets."""
+    sets = full_sets(docs, rest.select("doc_id", "k1"), words_each)
     shingles = sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     must = F.ceil(F.lit(percent) * F.col("n") / 100)
-    narrow = settle(rare_first(shingles, F.col("n"), F.col("n") - must + 1).join(rest.withColumnRenamed("doc_id", "id"), "id"), "narrow")
+    narrow = rare_first(shingles, F.col("n"), F.col("n") - must + 1).join(rest.select(F.col("doc_id").alias("id"), "component"), "id")
     x, y = narrow.alias("x"), narrow.alias("y")
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))))
-    late = confirmed(settle(meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "late"), docs, words_each, percent)
-    linked = settle(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)), "linked")
+    return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
 
-    placed = member.select("doc_id", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+def _rest(posts: DataFrame, first: DataFrame, signed: DataFrame, docs: DataFrame, words_each: int, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """(a, b): what the stars left, over lists that still hold more than one component."""
+    placed = settle(posts.select("id", "key").join(first, posts["id"] == first["node"], "left").select("id", "key", F.coalesce("component", "id").alias("component")), "placed")
+    mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size"), "mixed")
+    short = _short_lists(placed.join(mixed.where(F.col("size") <= SHORT), "key", "left_semi"), signed, percent, coordinates, matches)
+    rest = placed.join(mixed.where(F.col("size") > SHORT), "key", "left_semi").select("id", "component").distinct()
+    rest = settle(rest.join(signed.select("id", "k1"), "id").withColumnRenamed("id", "doc_id"), "rest")
+    late = settle(short.unionByName(_long_lists(rest, docs, words_each, percent)).distinct(), "late")
+    discard(placed, mixed, rest)
+    return late
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, kept) of every row of ``docs`` (doc_id, text, ...)."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is over 0 and at most 100")
+    spark = docs.sparkSession
+    # A set so small that one more shingle breaks the threshold is like equal sets only.
+    least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
+    sketch = settle(sketches(docs, words_each, coordinates, least), "sketch")
+    real = sketch.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2")
+    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
+    member = settle(real.join(classes, ["k1", "k2"]).select("doc_id", "class_id", "k1", "k2"), "member")
+    reps = member.where("doc_id = class_id").select("doc_id", "k1", "k2").distinct()
+    signed = sketch.where("sig is not null").join(reps, ["doc_id", "k1", "k2"], "left_semi")
+    signed = settle(signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "k1", "sig", "nib").dropDuplicates(["id"]), "signed")
+    release(spark)
+
+    posts = _postings(signed, coordinates, matches)
+    release(spark)
+    links = confirmed(_stars(posts, signed, matches), signed, docs, words_each, percent)
+    release(spark)
+    # Rows that share a doc_id are one document, so their classes are linked.
+    same = member.groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).where("u <> v").select("doc_id", "u")
+    same = member.join(same, "doc_id").select("u", F.col("class_id").alias("v"))
+    first = settle(components(links.unionByName(same)), "first")
+    release(spark)
+    late = confirmed(_rest(posts, first, signed, docs, words_each, percent, coordinates, matches), signed, docs, words_each, percent)
+    release(spark)
+    linked = first
+    if not late.isEmpty():
+        linked = settle(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)), "linked")
+    discard(posts, signed)
+
+    placed = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     placed = placed.join(linked, placed["class_id"] == linked["node"], "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,9 @@ def delete(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most ``rows`` rows (counted; df should be settled), else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more; called between phases."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
