@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillgrid.llm.oracles import ORACLES
 from quillgrid.session import ship
 
+#: Where public tokenizer models lie on this machine; a parameter of every function that needs one.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,9 +24,83 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_each=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str, model_file: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    from quillgrid.llm.pieces import sample_encodings
+
+    got = sample_encodings(table(spark, sf_dir, "documents"), model_file, k=3)
+    return got.select("doc_id", "rank", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", "decodes")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.secrets import BASE, scan
+
+    got = scan(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in BASE]
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return got.select("doc_id", *(count(k) for k in kinds), F.sha2(told(F.filter("spans", lambda s: s["kind"].isin(kinds))), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op4_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.suffixtree import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.quality import held_out, learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.winnow import decontaminate
+
+    got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.chat import format_chats
+
+    got = format_chats(table(spark, sf_dir, "conversations"))
+    return got.select("conv_id", "stage", "depth", "turn", "ord", "kind", "json", F.array_join("problems", ",").alias("problems"))
+
+
+def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.repetition import repetition
+
+    return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.scratch import new_path
+    from quillgrid.llm.shards import Store
+
+    store = Store(spark, new_path(spark, "store"))
+    store.append(table(spark, sf_dir, "documents"))
+    before = len(store.shards())
+    store.compact()
+    version = store.version()
+    shard = F.regexp_extract(F.col("_metadata.file_path"), r"(shards/.*)$", 1)
+    got = store.read().select("doc_id", F.length("text").cast("bigint").alias("text_chars"), shard.alias("shard"))
+    return got.select("doc_id", "text_chars", F.xxhash64("shard").alias("shard"), F.lit(version).alias("version"), F.lit(before).alias("n_arrivals"), F.lit(len(store.shards())).alias("n_shards"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_minhash_near_dedup, op2_sentencepiece_sampling, op3_secret_scan, op4_suffix_tree_score, op5_quality_classifier, op6_winnowing_decontamination, op7_chat_tool_linking, op8_repetition_coverage, op9_size_tiered_shards, op10_license_scan)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
