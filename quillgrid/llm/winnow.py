@@ -68,18 +68,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     some = settle(met.select("doc_id", "text_hash").distinct(), "some")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     few = small(some)
-    part = text.join(few, same(text, few), "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("words"))
-    pair = part.join(met, same(part, met)).select(part["doc_id"], part["text_hash"], "words", "item_row", "found").join(small(keyed.select("item_row", "item", "window", "spans"), 100_000), "item_row")
-    pair = pair.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    # From each shared gram to the windows around it; a short item's gram is its window.
-    near = lambda n, reach: F.flatten(F.transform(F.filter(F.transform(ngram_hashes(F.col("h"), n), lambda g, i: F.when(F.array_contains("found", g), i)), lambda i: i.isNotNull()), lambda i: F.sequence(i - reach, i)))
-    starts = F.when(F.col("window") == span, near(gram, span - gram))
-    for n in lengths:
-        starts = F.when(F.col("window") == n, near(n, 0)).otherwise(starts)
-    pair = pair.withColumn("near", F.array_distinct(starts))
-    exact = F.filter("near", lambda s: (s >= 0) & (s + F.col("window") <= F.size("words")) & F.array_contains("spans", F.array_join(F.slice("words", F.greatest(s, F.lit(0)) + 1, F.col("window")), " ")))
-    pair = pair.select("doc_id", "text_hash", "item", "window", exact.alias("starts")).where(F.size("starts") > 0)
+    # Extending is heavy for its bytes, so its partitions are set rather than merged by size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = text.join(few, same(text, few), "left_semi").repartition(parts, "doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash"])
+    sought = met.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("sought"))
+    part = part.join(sought, same(part, sought)).select(part["doc_id"], part["text_hash"], "sought", words(F.col("text")).alias("words"))
+    part = part.withColumn("n", F.size("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    # Places of shared grams, by their length, with the words around them.
+    sizes = sorted({gram, *lengths})
+    for n in sizes:
+        part = part.withColumn(f"g{n}", ngram_hashes(F.col("h"), n))
+    placed = [F.filter(F.transform(f"g{n}", lambda g, i: F.struct(F.lit(n).alias("size"), i.alias("at"), g.alias("f"))), lambda x: F.array_contains("sought", x["f"])) for n in sizes]  # noqa: B023
+    reach = span - gram
+    spot = part.select("doc_id", "text_hash", "words", "n", F.explode(F.concat(*placed)).alias("x"))
+    low = F.greatest(F.col("x.at") - reach, F.lit(0))
+    spot = spot.select("doc_id", "text_hash", "n", F.col("x.size").alias("size"), F.col("x.at").alias("at"), F.col("x.f").alias("f"), low.alias("low"), F.slice("words", low + 1, span + reach).alias("near"))
+    by_item = met.select("doc_id", "text_hash", "item_row", F.explode("found").alias("f"))
+    pair = spot.join(by_item, same(spot, by_item) & (spot["f"] == by_item["f"])).select(spot["doc_id"], spot["text_hash"], "n", "size", "at", "low", "near", "item_row")
+    pair = pair.join(small(keyed.select("item_row", "item", "window", "spans"), 100_000), "item_row")
+    pair = pair.where(F.col("size") == F.when(F.col("window") == span, gram).otherwise(F.col("window")))
+    # The windows that hold the gram, compared word by word; a short item's gram is its window.
+    first = F.when(F.col("window") == span, F.col("low")).otherwise(F.col("at"))
+    exact = lambda s: (s + F.col("window") <= F.col("n")) & F.array_contains("spans", F.array_join(F.slice("near", s - F.col("low") + 1, F.col("window")), " "))
+    pair = pair.withColumn("starts", F.filter(F.sequence(first, F.col("at")), exact)).where(F.size("starts") > 0)
     hit = pair.withColumn("places", F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("window") - 1))))
+    # Places first come together by document and item, then by document; neither holds more than the document's words.
+    hit = hit.groupBy("doc_id", "text_hash", "item").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
     hit = hit.groupBy("doc_id", "text_hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
 
     all_ = text.select("doc_id", "text_hash", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
