@@ -32,6 +32,7 @@ class Shard:
     bytes: int
     arrival: int
     merges: int = 0
+    rows: int = 0
 
 
 def tier_of(size: int, growth: int = GROWTH, smallest: int = 1 << 16) -> int:
@@ -109,10 +110,18 @@ class Store:
             raise
         return base + 1
 
-    def _written(self, folder: str) -> list[tuple[str, int]]:
-        path = self._path(*folder.split("/"))
-        found = [(f"{folder}/{s.getPath().getName()}", s.getLen()) for s in self.fs.listStatus(path)]
-        return sorted(x for x in found if x[0].endswith(".parquet"))
+    def _written(self, folder: str) -> list[tuple[str, int, int]]:
+        """(path, bytes, rows) of the Parquet files under ``folder`` that hold rows; rows come from the files' own counts."""
+        counts = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+        rows = {r["f"]: r["n"] for r in counts.collect()}
+        files, found = self.fs.listFiles(self._path(*folder.split("/")), True), []
+        while files.hasNext():
+            s = files.next()
+            name = s.getPath().getName()
+            if name in rows:
+                tail = s.getPath().toString().split(f"/{folder}/")[-1]
+                found.append((f"{folder}/{tail}", s.getLen(), rows[name]))
+        return sorted(found)
 
     def append(self, arrival: DataFrame, rows_each: int = 2_000) -> int:
         """Write an arrival as shards of at most ``rows_each`` rows, as its own tasks produce them, and commit them."""
@@ -121,7 +130,7 @@ class Store:
         arrival.write.option("maxRecordsPerFile", rows_each).parquet(f"{self.root}/{folder}")
         now = self.shards(base)
         start = max([s.arrival for s in now], default=0) + 1
-        new = [Shard(p, n, start + i) for i, (p, n) in enumerate(self._written(folder))]
+        new = [Shard(p, size, start + i, 0, n) for i, (p, size, n) in enumerate(self._written(folder))]
         return self.commit(now + new, base)
 
     def compact(self, target: int = TARGET, fan_in: int = FAN_IN, growth: int = GROWTH) -> int:
@@ -146,9 +155,11 @@ class Store:
         rows = rows.select(*(F.col(n).alias(f.name) for f, n in zip(schema, names, strict=True)), "_qg_run")
         rows.write.partitionBy("_qg_run").parquet(f"{self.root}/{folder}")
         merged = []
-        for i, r in enumerate(runs):
-            for p, n in self._written(f"{folder}/_qg_run={i}"):
-                merged.append(Shard(p, n, min(s.arrival for s in r), 1 + max(s.merges for s in r)))
+        for p, size, n in self._written(folder):
+            r = runs[int(p.split("/_qg_run=")[1].split("/")[0])]
+            merged.append(Shard(p, size, min(s.arrival for s in r), 1 + max(s.merges for s in r), n))
+        if sum(s.rows for s in merged) != sum(s.rows for r in runs for s in r):
+            raise RuntimeError("a merge changed the number of rows; nothing was committed")
         gone = {s.path for r in runs for s in r}
         return self.commit([s for s in now if s.path not in gone] + merged, base)
 
