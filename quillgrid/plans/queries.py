@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgrid.functions import labels as L
+from quillgrid.functions.choices import find_choices
+from quillgrid.functions.diff import diffs
 from quillgrid.functions import text as T
 from quillgrid.functions import values as V
 from quillgrid.operators import groups as G
 from quillgrid.operators import sequences as S
 from quillgrid.plans import fill as P
+from quillgrid.plans import golden as GOLDEN
 from quillgrid.sources import records as R
 from quillgrid.session import ship
 from quillgrid.streaming import ingest as I
@@ -502,3 +505,22 @@ def incremental_ingest(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = I.digest(d.where("doc_id % 10 < 5")).select("doc_id", "sha256")
     return I.new_items(d.where("doc_id % 10 >= 5"), manifest, "doc_id").select("doc_id", "sha256")
+
+
+def _values(rows: list[tuple]) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, bool)) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
+@query("SELECT id, label, options, item FROM (VALUES " + _values([(i, x[1], x[2], x[3]) for i, x in enumerate(GOLDEN.CHOICES) if x[2]]) + ") AS t(id, label, options, item)")
+def choice_lines_golden(spark, sf_dir):
+    ship(spark)
+    texts = spark.createDataFrame([(i, x[0]) for i, x in enumerate(GOLDEN.CHOICES)], "id int, text string")
+    return find_choices(texts, "text").select("id", F.coalesce("label", F.lit("")).alias("label"), F.array_join("options", ",").alias("options"), "item")
+
+
+@query("SELECT id, n, change FROM (VALUES " + _values([(i, n, c) for i, x in enumerate(GOLDEN.DIFFS) for n, c in enumerate(x[2])]) + ") AS t(id, n, change)")
+def text_diff_golden(spark, sf_dir):
+    ship(spark)
+    pairs = spark.createDataFrame([(i, x[0], x[1]) for i, x in enumerate(GOLDEN.DIFFS)], "id int, a string, b string")
+    return diffs(pairs, "a", "b").select("id", "n", F.concat(F.concat_ws("-", "start", "end"), F.lit(":"), "text").alias("change"))
