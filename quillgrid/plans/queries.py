@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgrid.functions import labels as L
+from quillgrid.functions.blanks import find_blanks
 from quillgrid.functions.choices import find_choices
 from quillgrid.functions.diff import diffs
 from quillgrid.functions import text as T
@@ -524,3 +525,15 @@ def text_diff_golden(spark, sf_dir):
     ship(spark)
     pairs = spark.createDataFrame([(i, x[0], x[1]) for i, x in enumerate(GOLDEN.DIFFS)], "id int, a string, b string")
     return diffs(pairs, "a", "b").select("id", "n", F.concat(F.concat_ws("-", "start", "end"), F.lit(":"), "text").alias("change"))
+
+
+@query("SELECT id, n, blank FROM (VALUES " + _values([(i, n, b) for i, x in enumerate(GOLDEN.BLANKS) for n, b in enumerate(x[1])]) + ") AS t(id, n, blank)")
+def inline_blanks_golden(spark, sf_dir):
+    ship(spark)
+    texts = spark.createDataFrame([(i, x[0], x[0]) for i, x in enumerate(GOLDEN.BLANKS)], "id int, text string, own string")
+    # What a part prints: its characters, with each tab as the eight positions it counts.
+    wide = F.replace("own", F.lit("\t"), F.lit("\x01" * 8))
+    printed = lambda p: F.concat(p["role"], F.lit('="'), F.replace(F.substring(wide, p["start"] + 1, p["end"] - p["start"]), F.lit("\x01"), F.lit("")), F.lit('"'))
+    got = find_blanks(texts, "text")
+    lead = F.when(F.col("lead").isNotNull(), F.concat(F.lit("@"), "lead")).otherwise(F.lit(""))
+    return got.select("id", "n", F.concat("kind", F.lit(":"), F.array_join("display", "/"), lead, F.lit(":"), F.array_join(F.transform("parts", printed), ",")).alias("blank"))

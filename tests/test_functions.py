@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.functions import labels, text, values
+from quillgrid.functions.blanks import blanks_of
 from quillgrid.functions.choices import choices_of, mark_for
 from quillgrid.functions.diff import text_diff
 from quillgrid.plans import fill
-from quillgrid.plans.golden import CHOICES, DIFFS
+from quillgrid.plans.golden import BLANKS, CHOICES, DIFFS
 from quillgrid.plans.queries import ORACLES, QUERIES
 from quillgrid.sources import records
 from quillgrid.streaming import ingest
@@ -25,6 +26,14 @@ def test_choices(row):
     assert got == ([(row[1], row[2], row[3])] if row[2] else [])
 
 
+@pytest.mark.parametrize("row", BLANKS, ids=lambda r: r[0][:20])
+def test_blanks(row):
+    wide = row[0].replace("\t", "\x01" * 8)
+    part = lambda p: f'{p.role}="{wide[p.start : p.end]}"'.replace("\x01", "")
+    got = [f"{b.kind}:{'/'.join(b.display)}{'@' + b.lead if b.lead else ''}:{','.join(map(part, b.parts))}" for b in blanks_of(row[0])]
+    assert got == row[1]
+
+
 def test_marks():
     assert mark_for(["없음", "○표를 합니다", "√표"]) == "○" and mark_for([]) == "√"
 
