@@ -165,9 +165,11 @@ def cross_records(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(F.concat_ws("-", "l", "r").alias("rec_id"), F.map_concat(mine, "b").alias("rec"))
 
 
-def slot_keys(slots: DataFrame) -> DataFrame:
-    """(slot_ord, key) of ``slots`` (slot_ord, label, group): keys used twice get their group's name, and those still alike a number."""
-    twice = F.count(F.lit(1)).over(Window.partitionBy("label")) > 1
+def slot_keys(slots: DataFrame, form: list[str] | None = None) -> DataFrame:
+    """(form..., slot_ord, key) of ``slots`` (form..., slot_ord, label, group): labels used twice in a form get their group's name, and those still alike a number each."""
+    form = form or []
+    alike = lambda c: Window.partitionBy(*form, c)
+    twice = F.count(F.lit(1)).over(alike("label")) > 1
     named = slots.withColumn("k", F.when(twice & (F.col("group") != ""), F.concat_ws(".", "group", "label")).otherwise(F.col("label")))
-    n = F.row_number().over(Window.partitionBy("k").orderBy("slot_ord"))
-    return named.withColumn("n", n).select("slot_ord", F.when(F.col("n") > 1, F.concat("k", F.lit("@"), F.col("n").cast("string"))).otherwise(F.col("k")).alias("key"))
+    named = named.withColumns({"n": F.row_number().over(alike("k").orderBy("slot_ord")), "all": F.count(F.lit(1)).over(alike("k"))})
+    return named.select(*form, "slot_ord", F.when(F.col("all") > 1, F.concat("k", F.lit("@"), F.col("n").cast("string"))).otherwise(F.col("k")).alias("key"))

@@ -150,7 +150,7 @@ def alias_expand(spark, sf_dir):
     return L.alias_table(spark)
 
 
-@query("WITH a AS (SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN p_brand || '.' || p_name ELSE p_name END AS k FROM part) SELECT p_partkey AS slot_ord, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY p_partkey) > 1 THEN k || '@' || row_number() OVER (PARTITION BY k ORDER BY p_partkey) ELSE k END AS key FROM a")
+@query("WITH a AS (SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN p_brand || '.' || p_name ELSE p_name END AS k FROM part) SELECT p_partkey AS slot_ord, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN k || '@' || row_number() OVER (PARTITION BY k ORDER BY p_partkey) ELSE k END AS key FROM a")
 def slot_keys(spark, sf_dir):
     return P.slot_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slot_ord"), F.col("p_name").alias("label"), F.col("p_brand").alias("group")))
 
