@@ -14,7 +14,7 @@ from quillgrid.llm.neardup import near_duplicates
 from quillgrid.llm.pieces import sample_encodings
 from quillgrid.llm.quality import learn, score
 from quillgrid.llm.queries import TOKENIZERS
-from quillgrid.llm.scratch import settle
+from quillgrid.llm.scratch import settle, small
 from quillgrid.llm.secrets import redact
 from quillgrid.llm.winnow import decontaminate
 from quillgrid.session import ship
@@ -30,16 +30,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (1): five-word shingles, a similarity of 0.8."""
     ship(spark)
-    got = near_duplicates(docs, words_each=5, percent=80)
-    gone = got.where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = settle(near_duplicates(docs, words_each=5, percent=80).where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # Rows that repeat a doc_id are one document; only they are brought together.
+    twice = settle(left.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    once = left.join(small(twice), "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(small(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark (6)."""
     bench = ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate(docs, bench).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    hit = settle(decontaminate(docs, bench).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "hit")
+    hit = small(hit)
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]) & (F.xxhash64(docs["text"].cast("string")) == hit["_h"]), "left_anti")
 
 
