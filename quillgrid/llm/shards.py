@@ -17,6 +17,7 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,15 +113,15 @@ class Store:
 
     def _written(self, folder: str) -> list[tuple[str, int, int]]:
         """(path, bytes, rows) of the Parquet files under ``folder`` that hold rows; rows come from the files' own counts."""
-        counts = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n"))
-        rows = {r["f"]: r["n"] for r in counts.collect()}
+        # By path: one task gives its files in several runs' folders the same name.
+        counts = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+        rows = {unquote(r["f"]).split(f"/{folder}/")[-1]: r["n"] for r in counts.collect()}
         files, found = self.fs.listFiles(self._path(*folder.split("/")), True), []
         while files.hasNext():
             s = files.next()
-            name = s.getPath().getName()
-            if name in rows:
-                tail = s.getPath().toString().split(f"/{folder}/")[-1]
-                found.append((f"{folder}/{tail}", s.getLen(), rows[name]))
+            tail = s.getPath().toString().split(f"/{folder}/")[-1]
+            if tail in rows:
+                found.append((f"{folder}/{tail}", s.getLen(), rows[tail]))
         return sorted(found)
 
     def append(self, arrival: DataFrame, rows_each: int = 2_000) -> int:
@@ -143,13 +144,13 @@ class Store:
         schema = self.spark.read.parquet(f"{self.root}/{now[0].path}").schema
         # A run is written by its own task: the n-th run's rows go to the n-th partition, for any number of runs.
         folder = f"shards/{uuid.uuid4().hex}"
-        number = {s.path.split("/")[-1]: i for i, r in enumerate(runs) for s in r}
-        order = {s.path.split("/")[-1]: s.arrival for r in runs for s in r}
+        number = {s.path: i for i, r in enumerate(runs) for s in r}
+        order = {s.path: s.arrival for r in runs for s in r}
         listing = self.spark.createDataFrame([(f, number[f], order[f]) for f in sorted(number)], "_qg_file string, _qg_run int, _qg_arrival long")
         files = [f"{self.root}/{s.path}" for r in runs for s in r]
         rows = self.spark.read.schema(schema).parquet(*files)
         names = [f"_qg_{i}" for i in range(len(schema))]
-        rows = rows.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(schema, names, strict=True)), F.col("_metadata.file_name").alias("_qg_file"), F.col("_metadata.file_block_start").alias("_qg_block"))
+        rows = rows.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(schema, names, strict=True)), F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"(shards/.*)$", 1).alias("_qg_file"), F.col("_metadata.file_block_start").alias("_qg_block"))
         # The listing is that of the manifest: one short row a shard.
         rows = rows.join(F.broadcast(listing), "_qg_file").repartitionByRange(len(runs), "_qg_run").sortWithinPartitions("_qg_run", "_qg_arrival", "_qg_block")
         rows = rows.select(*(F.col(n).alias(f.name) for f, n in zip(schema, names, strict=True)), "_qg_run")

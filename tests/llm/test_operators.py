@@ -353,6 +353,17 @@ def test_shards(spark, tmp_path):
     assert store.compact() == 5 and store.append(d.where("false")) == 6 and store.shards() == after
 
 
+def test_one_task_writes_several_runs(spark, tmp_path):
+    store = shards.Store(spark, f"file://{tmp_path}/many")
+    d = spark.range(600).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).repartition(1)
+    for _ in range(2):
+        store.append(d, rows_each=50)
+    one = max(s.bytes for s in store.shards())
+    for _ in range(3):  # several rounds: merged shards of one job share file names and are merged again
+        store.compact(target=3 * one, fan_in=2, growth=100)
+    assert sum(s.rows for s in store.shards()) == 1200 and sorted(r.id for r in store.read().collect()) == sorted([*range(600)] * 2)
+
+
 def test_compaction_plan():
     mk = lambda sizes: [shards.Shard(f"s{i}", n, i) for i, n in enumerate(sizes)]
     runs = shards.plan(mk([100] * 10 + [10**6] * 3 + [10**9]), target=450, fan_in=4)
