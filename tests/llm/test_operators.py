@@ -203,10 +203,8 @@ def test_suffix_tree_scores(spark):
 
 
 def test_suffix_tree_is_a_distribution():
-    import pandas as pd
-
     rows = [(0, 0, s, c) for s, c in ((97, 60), (98, 30), (32, 90))] + [(1, 97, 98, 30), (1, 97, 32, 30), (1, 98, 32, 30), (1, 32, 97, 60), (1, 32, 98, 0)]
-    tree = suffixtree.SuffixTree(pd.DataFrame([r for r in rows if r[3]], columns=["d", "context", "symbol", "c"]), 10)
+    tree = suffixtree.SuffixTree([tuple(np.array([r[i] for r in rows if r[0] == d and r[3]]) for i in (1, 2, 3)) for d in (0, 1)], 10)
     symbols = np.arange(256, dtype=np.uint64)
     for context in (0, 97, 98, 32, 99):
         p = np.exp(tree._log(1, np.full(256, context, np.uint64), symbols)).sum()
