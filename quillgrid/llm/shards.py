@@ -128,7 +128,7 @@ class Store:
         """Write an arrival as shards of at most ``rows_each`` rows, as its own tasks produce them, and commit them."""
         base = self.version()
         folder = f"shards/{uuid.uuid4().hex}"
-        arrival.write.option("maxRecordsPerFile", rows_each).parquet(f"{self.root}/{folder}")
+        arrival.write.option("compression", "zstd").option("maxRecordsPerFile", rows_each).parquet(f"{self.root}/{folder}")
         now = self.shards(base)
         start = max([s.arrival for s in now], default=0) + 1
         new = [Shard(p, size, start + i, 0, n) for i, (p, size, n) in enumerate(self._written(folder))]
@@ -154,7 +154,7 @@ class Store:
         # The listing is that of the manifest: one short row a shard.
         rows = rows.join(F.broadcast(listing), "_qg_file").repartitionByRange(len(runs), "_qg_run").sortWithinPartitions("_qg_run", "_qg_arrival", "_qg_block")
         rows = rows.select(*(F.col(n).alias(f.name) for f, n in zip(schema, names, strict=True)), "_qg_run")
-        rows.write.partitionBy("_qg_run").parquet(f"{self.root}/{folder}")
+        rows.write.option("compression", "zstd").partitionBy("_qg_run").parquet(f"{self.root}/{folder}")
         merged = []
         for p, size, n in self._written(folder):
             r = runs[int(p.split("/_qg_run=")[1].split("/")[0])]
