@@ -3,13 +3,18 @@
 The corpus is gathered into exact counts of every distinct word (training rows apart),
 and these weigh a suffix tree: a context is a run of up to DEPTH bytes before a symbol,
 back to the space that opens the word; symbols are bytes, the closing space and the
-end of the text. A context is a candidate if it makes up at least LEAST of all symbols,
-which bounds the tree by DEPTH / LEAST contexts however large the corpus is, so it may
-be gathered and broadcast. It is retained if its next-symbol distribution diverges from
-that of its longest proper suffix: count times Kullback-Leibler divergence of at least
+end of the text. A context is a candidate if it is seen LEAST times, a fixed count, so
+the tree grows with the corpus. It is retained if its next-symbol distribution diverges
+from that of its longest proper suffix: count times Kullback-Leibler divergence of at least
 GAIN nats. Distributions are smoothed by their suffix's with weight PRIOR, the root's by
 the uniform one. A symbol is scored in the longest retained suffix of what precedes it.
 
+The tree is grown depth by depth with joins and stays a table: what a retained context adds
+to the log probability of any symbol over its suffix's, and what it adds besides for each
+symbol it has seen. Along the suffixes of a place these sum to the score in the longest
+retained one, so places need no order: a table of at most HELD rows is broadcast, a larger
+one is joined by key, all but its two lowest depths (at most 257 * 257 contexts).
+
 The tree spells words that are new or rare; at its root stand the training words
 themselves, discounted: P(w) = (max(c - DISCOUNT, 0) + DISCOUNT * V * tree(w)) / N, which
 sums to one and hands what the discount frees to the tree.
@@ -36,7 +41,9 @@ from pyspark.sql import functions as F
 from quillgrid.llm import kernel as K
 from quillgrid.llm.scratch import release, settle
 
-DEPTH, LEAST, GAIN, PRIOR, SYMBOLS = 7, 2e-5, 8.0, 2.0, 257
+DEPTH, LEAST, GAIN, PRIOR, SYMBOLS = 7, 32, 8.0, 2.0, 257
+#: Rows of a tree (16 bytes each) that are broadcast at most; a larger tree is joined.
+HELD = 1 << 21
 FREQUENT = 1 << 18
 DISCOUNT = 0.5
 SPACE, END = 0x20, 0x0A
@@ -193,22 +200,126 @@ class SuffixTree:
         return float(self._log(1, np.array([SPACE], np.uint64), np.array([END], np.uint64))[0] / np.log(10))
 
 
-def train(vocabulary: DataFrame, ends: int) -> SuffixTree:
-    """The tree of ``vocabulary`` (word, c). Candidate contexts alone reach the driver: at most DEPTH / LEAST of them."""
-    counts = settle(context_counts(vocabulary), "contexts")
-    symbols = counts.where("d = 0").agg(F.sum("c")).first()[0] or 0
-    totals = counts.groupBy("d", "context").agg(F.sum("c").alias("t")).where(F.col("t") >= LEAST * symbols).select("d", "context")
-    # A candidate's rows fit where its context does: at most SYMBOLS rows each, and no more than 1 / LEAST per depth weigh anything.
-    kept = settle(counts.join(totals, ["d", "context"], "left_semi"), "kept")
+def tree_keys(d: np.ndarray | int, context: np.ndarray, symbol: np.ndarray | int) -> np.ndarray:
+    """The key of a context's row for ``symbol``, or of its row for any symbol (-1)."""
+    at = K.splitmix(context.astype(np.uint64) + np.asarray(d).astype(np.uint64) * np.uint64(K.MULT))
+    return K.splitmix(at + (np.asarray(symbol) + 2).astype(np.uint64)).view(np.int64)
+
+
+def train(vocabulary: DataFrame, ends: int) -> DataFrame:
+    """(d, context, symbol, key, delta): the tree of ``vocabulary`` (word, c), a settled table; symbol -1 is any symbol. Nothing is gathered."""
+    spark = vocabulary.sparkSession
+    counts = context_counts(vocabulary)
+    if ends:
+        end = spark.createDataFrame([(0, 0, END, ends), (1, SPACE, END, ends)], "d int, context bigint, symbol int, c bigint")
+        counts = counts.unionByName(end)
+    counts = settle(counts, "contexts")
+    release(spark)
+    out, lower = [], None
+    for d in range(DEPTH + 1):
+        own = counts.where(F.col("d") == d)
+        total = own.groupBy("context").agg(F.sum("c").alias("t"))
+        own = own.join(total if d == 0 else total.where(F.col("t") >= LEAST), "context").select("context", "symbol", "c", "t")
+        if d == 0:
+            own = own.withColumn("below", F.lit(-float(np.log(SYMBOLS))))
+        else:  # a context's suffix is seen with all its symbols, as often at least
+            suffix = F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1).cast("bigint"))
+            own = own.withColumn("suffix", suffix).join(lower, ["suffix", "symbol"])
+        own = own.withColumn("p", F.log((F.col("c") + PRIOR * F.exp("below")) / (F.col("t") + PRIOR)))
+        gain = own.groupBy("context").agg(F.sum(F.col("c") * (F.col("p") - F.col("below"))).alias("gain"))
+        kept = F.lit(True) if d == 0 else F.col("gain") >= GAIN
+        own = settle(own.join(gain, "context").select("context", "symbol", "t", "below", "p", kept.alias("kept")), "depth")
+        lower = own.select(F.col("context").alias("suffix"), "symbol", F.when(F.col("kept"), F.col("p")).otherwise(F.col("below")).alias("below"))
+        back = F.log(PRIOR / (F.col("t") + PRIOR))
+        held = own.where("kept")
+        out += [held.select(F.lit(d).alias("d"), "context", F.lit(-1).alias("symbol"), back.alias("delta")).distinct(), held.select(F.lit(d).alias("d"), "context", "symbol", (F.col("p") - F.col("below") - back).alias("delta"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, context, symbol, _ = (c.to_numpy() for c in batch.columns)
+            yield pa.record_batch([*batch.columns[:3], pa.array(tree_keys(d, context, symbol)), batch.column(3)], names=["d", "context", "symbol", "key", "delta"])
+
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return settle(rows.mapInArrow(run, "d int, context bigint, symbol int, key bigint, delta double"), "tree")
+
+
+def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their deltas, of a table that was counted first."""
+    got = rows.select("key", "delta").toArrow()
+    key, delta = (got.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(key)
+    return key[order], delta[order]
+
+
+def found(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the table, and its delta or 0."""
+    keys, deltas = table
+    if not len(keys):
+        return np.zeros(len(key), bool), np.zeros(len(key))
+    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    here = keys[i] == key
+    return here, np.where(here, deltas[i], 0.0)
+
+
+def spelt(words: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log probability of each word with its closing space, after a space, as far as ``table`` holds the tree."""
+    data, bounds = _symbols(words)
+    out = np.zeros(len(data))
+    for d, at, context in _contexts(data, bounds):
+        if d == 0:
+            out[at] -= np.log(SYMBOLS)
+        here, delta = found(table, tree_keys(d, context, -1))
+        out[at] += delta
+        at = at[here]
+        out[at] += found(table, tree_keys(d, context[here], data[at].astype(np.int64)))[1]
+    return np.add.reduceat(out, bounds[:-1]) if len(words) else np.zeros(0)
+
+
+def ended(table: tuple[np.ndarray, np.ndarray]) -> float:
+    """log probability of the end after a space; only depths 0 and 1 have it."""
+    out = -float(np.log(SYMBOLS))
+    for d, context in ((0, 0), (1, SPACE)):
+        context = np.array([context], np.uint64)
+        here, delta = found(table, tree_keys(d, context, -1))
+        out += float(delta[0] + (found(table, tree_keys(d, context, END))[1][0] if here[0] else 0.0))
+    return out
+
+
+def spellings(vocabulary: DataFrame, tree: DataFrame, held: int = HELD) -> tuple[DataFrame, float]:
+    """``vocabulary`` (h, word, ...) with ``tree_lp``, log10 of what the tree gives each word, and that of the end."""
+    spark = vocabulary.sparkSession
+    whole = tree.limit(held + 1).count() <= held
+    table = gathered(tree if whole else tree.where("d < 2"))
+    send = spark.sparkContext.broadcast(table)
+    names = vocabulary.columns
+    place = names.index("word")
+    kinds = ", ".join(f"{n} {t}" for n, t in vocabulary.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(spelt(batch.column(place), send.value) / np.log(10))], names=[*names, "tree_lp"])
+
+    out = vocabulary.mapInArrow(run, f"{kinds}, tree_lp double")
+    if not whole:
 
-    def depth(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = kept.where(F.col("d") == d).select("context", F.col("symbol").cast("short").alias("symbol"), "c").toPandas()
-        return got["context"].to_numpy(np.int64), got["symbol"].to_numpy(), got["c"].to_numpy(np.int64)
+        def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, bounds = _symbols(batch.column(1))
+                h = np.repeat(batch.column(0).to_numpy(), np.diff(bounds))
+                for d, at, context in _contexts(data, bounds):
+                    if d > 1:
+                        for symbol in (-1, data[at].astype(np.int64)):
+                            yield pa.record_batch([pa.array(h[at]), pa.array(tree_keys(d, context, symbol))], names=["h", "key"])
 
-    return SuffixTree(map(depth, range(DEPTH + 1)), ends)
+        asked = vocabulary.select("h", "word").mapInArrow(deep, "h bigint, key bigint").join(tree.where("d > 1").select("key", "delta"), "key")
+        more = asked.groupBy("h").agg((F.sum("delta") / float(np.log(10))).alias("more"))
+        out = out.join(more, "h", "left").withColumn("tree_lp", F.col("tree_lp") + F.coalesce("more", F.lit(0.0))).drop("more")
+    return out, ended(table) / float(np.log(10))
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -218,8 +329,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     facts = vocabulary.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = (facts[0] or 0) + ends, facts[1] + (ends > 0)
     release(spark)
-    tree = train(vocabulary, ends)
-    send = spark.sparkContext.broadcast(tree)
+    with_tree, end_tree = spellings(vocabulary.select("h", "word", "n", "c"), train(vocabulary, ends), held)
+    release(spark)
 
     def mixed(c: np.ndarray, tree_lp: np.ndarray) -> np.ndarray:
         """log10 probability of words with training counts ``c``, the tree's share put in."""
@@ -227,16 +338,17 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(mixed(batch.column(3).to_numpy(), send.value.word_scores(batch.column(1))))], names=["h", "n", "c", "lp"])
+            yield pa.record_batch([batch.column(0), batch.column(3), batch.column(1), pa.array(mixed(batch.column(1).to_numpy(), batch.column(2).to_numpy()))], names=["h", "n", "c", "lp"])
 
     base = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
-    scored = vocabulary.select("h", "word", "n", "c").mapInArrow(score_words, "h bigint, n bigint, c bigint, lp double").withColumn("base", base)
+    scored = with_tree.select("h", "c", "tree_lp", "n").mapInArrow(score_words, "h bigint, n bigint, c bigint, lp double").withColumn("base", base)
     scored = settle(scored, "scored")
     # At most ``frequent`` rows; which ones changes where the adding is done, not the sum.
-    top = scored.orderBy(F.desc("n"), "h").limit(frequent).toPandas().sort_values("h")
-    table = spark.sparkContext.broadcast({k: top[k].to_numpy() for k in ("h", "c", "lp", "base")})
+    top = scored.orderBy(F.desc("n"), "h").limit(frequent).toArrow()
+    order = np.argsort(top.column("h").to_numpy())
+    table = spark.sparkContext.broadcast({k: top.column(k).to_numpy()[order] for k in ("h", "c", "lp", "base")})
     end_base = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
-    end_lp = float(mixed(np.array(ends), np.array(tree.end_score())))
+    end_lp = float(mixed(np.array(ends), np.array(end_tree)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
