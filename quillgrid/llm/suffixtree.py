@@ -19,6 +19,15 @@ The tree spells words that are new or rare; at its root stand the training words
 themselves, discounted: P(w) = (max(c - DISCOUNT, 0) + DISCOUNT * V * tree(w)) / N, which
 sums to one and hands what the discount frees to the tree.
 
+Above the words stands a second suffix tree, over the running text: its symbols are words
+and ends of texts, its contexts runs of up to ORDER words before them, from the start of
+the text on and across word boundaries, counted over whole training texts. A context is a
+candidate if seen LEAST times, and retained if what follows it diverges from what its
+longest retained suffix says by GAIN nats, each occurrence left out of its own estimate.
+P(w | s) = (max(c - 1, 0) + F * P(w | suffix)) / t with F distinct followers in t places,
+which sums to one; P(w) above stands at the root. So the order of words counts, and this
+tree too is a table of what contexts add, broadcast up to HELD rows and joined beyond.
+
 Scores of distinct words are found once. A text adds up its words': the FREQUENT most
 frequent ones (a fixed number, broadcast) in place, others by a join on the word's hash
 with rows already summed by text and word.
@@ -47,6 +56,9 @@ HELD = 1 << 21
 FREQUENT = 1 << 18
 DISCOUNT = 0.5
 SPACE, END = 0x20, 0x0A
+#: Words of a context at most; hashes that stand for the start and the end of a text, and that tell contexts from pairs.
+ORDER = 3
+START_WORD, END_WORD, ROLE = 0x51A27C0DE5EED001, 0x51A27C0DE5EED002, 0x2545F4914F6CDD1D
 
 
 def _word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -319,6 +331,139 @@ def spellings(vocabulary: DataFrame, tree: DataFrame, held: int = HELD) -> tuple
     return out, ended(table) / float(np.log(10))
 
 
+def folds(seq: np.ndarray, count: int) -> Iterator[np.ndarray]:
+    """For d = 1, 2, ...: the key of the d words that end at each place of ``seq``; the first d - 1 places mean nothing."""
+    key = K.splitmix(seq)
+    yield key
+    for _ in range(1, count):
+        key = fold(np.concatenate([key[:1], key[:-1]]), seq)
+        yield key
+
+
+def fold(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a context with one more word."""
+    return K.splitmix(context * np.uint64(K.MULT) + word)
+
+
+def any_key(context: np.ndarray) -> np.ndarray:
+    """The key of what a context adds for any word."""
+    return K.splitmix(context ^ np.uint64(ROLE))
+
+
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of texts with the start and the end of each, their rows and their places."""
+    data, off = K.buffer_of(column)
+    starts, ends, first = K.words(K.LOWER[data], off)
+    h = K.span_hashes(K.LOWER[data], starts, ends)
+    size = np.diff(first) + 2
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    seq = np.full(int(bounds[-1]), START_WORD, np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(seq)) - bounds[row]
+    seq[(place > 0) & (place < size[row] - 1)] = h
+    seq[bounds[1:] - 1] = END_WORD
+    return seq, row, place
+
+
+def followers(rows: DataFrame, d: int, wanted: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """(context, w, c): words that follow a context of d words twice or more, over whole training texts; ``wanted`` holds the contexts asked for, if few."""
+    send = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.batches(whole, "text", 4 << 20):
+                seq, _, place = _sequences(batch.column(0))
+                *_, key = folds(seq, d)
+                at = np.flatnonzero(place >= d)
+                context, w = key[at - 1].view(np.int64), seq[at].view(np.int64)
+                if send.value is not None:
+                    here = found(send.value, context)[0]
+                    context, w = context[here], w[here]
+                yield pa.record_batch([pa.array(context), pa.array(w)], names=["context", "w"])
+
+    got = rows.where("train").select("text").mapInArrow(run, "context bigint, w bigint")
+    return got.groupBy("context", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+
+
+def word_tree(rows: DataFrame, words_: DataFrame, ends: int, held: int = HELD) -> DataFrame:
+    """(key, delta): the tree over words of ``rows`` (text, train); ``words_`` (h, c, lp) has training counts and log10 P(w) of all words and the end."""
+    spark = rows.sparkSession
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(K.splitmix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), batch.column(1)], names=["context", "t"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, suffix, w = (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in range(3))
+            longer = fold(context, w)
+            less = np.where(np.asarray(batch.column(1).is_null()), K.splitmix(w), fold(suffix, w))
+            more = [pa.array(x.view(np.int64)) for x in (longer, less, any_key(context))]
+            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "longer", "less", "any"])
+
+    start = spark.createDataFrame([(np.uint64(START_WORD).astype(np.int64).item(), ends)], "h bigint, c bigint")
+    seen = words_.where(F.col("h") != np.uint64(END_WORD).astype(np.int64).item()).select("h", "c").unionByName(start).where(F.col("c") >= LEAST)
+    contexts = settle(seen.mapInArrow(first, "context bigint, t bigint").withColumn("suffix", F.lit(None).cast("bigint")), "contexts")
+    lower = words_.select(F.col("h").alias("w"), F.col("lp").alias("below"))
+    tree = None
+    for d in range(1, ORDER + 1):
+        few = contexts.limit(held + 1).count() <= held
+        wanted = gathered(contexts.select(F.col("context").alias("key"), F.lit(0.0).alias("delta"))) if few else None
+        own = followers(rows, d, wanted).join(contexts, "context")
+        own = settle(own.join(lower, ["w"] if d == 1 else ["suffix", "w"]).select("context", "suffix", "w", "c", "t", "below"), "followers")
+        release(spark)
+        free = own.groupBy("context").agg((F.max("t") - F.sum(F.col("c") - 1)).alias("f"), (F.max("t") - F.sum("c")).alias("once"))
+        own = own.join(free, "context").withColumn("b", F.pow(F.lit(10.0), "below"))
+        out_of = F.col("c") * F.log((F.col("c") - 2 + F.col("f") * F.col("b")) / ((F.col("t") - 1) * F.col("b")))
+        once = F.when(F.col("once") > 0, F.col("once") * F.log((F.col("f") - 1) / (F.col("t") - 1))).otherwise(0.0)
+        gain = own.groupBy("context").agg((F.sum(out_of) + F.max(once)).alias("gain"))
+        own = own.join(gain, "context").withColumn("kept", F.col("gain") >= GAIN)
+        p = F.log10((F.col("c") - 1 + F.col("f") * F.col("b")) / F.col("t"))
+        own = own.withColumn("p", F.when(F.col("kept"), p).otherwise(F.col("below"))).withColumn("back", F.log10(F.col("f") / F.col("t")))
+        own = own.select("context", "suffix", "w", "c", "below", "p", "back", "kept")
+        own = settle(own.mapInArrow(keyed, "context bigint, suffix bigint, w bigint, c bigint, below double, p double, back double, kept boolean, longer bigint, less bigint, any bigint"), "followers")
+        new = own.where("kept").select(F.col("any").alias("key"), F.col("back").alias("delta")).distinct()
+        new = new.unionByName(own.where("kept").select(F.col("longer").alias("key"), (F.col("p") - F.col("below") - F.col("back")).alias("delta")))
+        tree = new if tree is None else tree.unionByName(new)
+        lower = own.select(F.col("context").alias("suffix"), "w", F.col("p").alias("below"))
+        last = F.col("w") != np.uint64(END_WORD).astype(np.int64).item()
+        contexts = settle(own.where(last & (F.col("c") >= LEAST)).select(F.col("longer").alias("context"), F.col("c").alias("t"), F.col("less").alias("suffix")), "contexts")
+        release(spark)
+        if contexts.isEmpty():
+            break
+    return settle(tree, "word_tree")
+
+
+def followed(column: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What the contexts in ``table`` add to each text's log10 probability."""
+    seq, row, place = _sequences(column)
+    out = np.zeros(len(column))
+    for d, key in enumerate(folds(seq, ORDER), 1):
+        at = np.flatnonzero(place >= d)
+        here, delta = found(table, any_key(key[at - 1]).view(np.int64))
+        at, delta = at[here], delta[here]
+        delta = delta + found(table, fold(key[at - 1], seq[at]).view(np.int64))[1]
+        out += np.bincount(row[at], delta, len(column))
+    return out
+
+
+def following(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """(k, f_lp): the same sums, where the tree is joined by key; ``rows`` has (k, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.batches(whole, "text", 4 << 20):
+                seq, row, place = _sequences(batch.column(1))
+                for d, key in enumerate(folds(seq, ORDER), 1):
+                    at = np.flatnonzero(place >= d)
+                    k = batch.column(0).take(pa.array(row[at]))
+                    for asked in (any_key(key[at - 1]), fold(key[at - 1], seq[at])):
+                        yield pa.record_batch([k, pa.array(asked.view(np.int64))], names=["k", "key"])
+
+    asked = rows.select("k", "text").mapInArrow(run, "k bigint, key bigint")
+    return asked.join(tree, "key").groupBy("k").agg(F.sum("delta").alias("f_lp"))
+
+
 def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
@@ -350,6 +495,11 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFr
     end_base = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
     end_lp = float(mixed(np.array(ends), np.array(end_tree)))
 
+    last = spark.createDataFrame([(np.uint64(END_WORD).astype(np.int64).item(), ends, end_lp)], "h bigint, c bigint, lp double")
+    above = word_tree(rows, scored.select("h", "c", "lp").unionByName(last), ends, held)
+    whole_tree = above.limit(held + 1).count() <= held
+    contexts = spark.sparkContext.broadcast(gathered(above) if whole_tree else None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         for whole in batches:
@@ -366,7 +516,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFr
                 key = batch.column(2)
                 own = [key, batch.column(0), pa.nulls(size, pa.int64()), pa.array(np.ones(size, np.int64)), pa.array(np.diff(first) + 1)]
                 ones = np.bincount(row[known], (t["c"][i[known]] > 0).astype(float), size).astype(np.int64) + int(ends > 0)
-                own += [pa.array(ones), pa.array(at("base") + end_base), pa.array(at("lp") + end_lp)]
+                own += [pa.array(ones), pa.array(at("base") + end_base), pa.array(at("lp") + end_lp + (followed(batch.column(1), contexts.value) if contexts.value is not None else 0.0))]
                 names = ["k", "doc_id", "h", "m", "n_tokens", "n_known", "base", "lp"]
                 yield pa.record_batch(own, names=names)
                 rest = np.flatnonzero(~known)
@@ -384,6 +534,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFr
     rare = rare.repartition("k").groupBy("k").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k_known"), F.sum(F.col("m") * base).alias("k_base"), F.sum(F.col("m") * F.col("lp")).alias("k_lp"))
     whole = parts.where("h is null").groupBy("k").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("m", "n_tokens", "n_known", "base", "lp")))
     whole = whole.join(rare, "k", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k_known", F.lit(0)), "base": F.col("base") + F.coalesce("k_base", F.lit(0.0)), "lp": F.col("lp") + F.coalesce("k_lp", F.lit(0.0))})
+    if not whole_tree:
+        whole = whole.join(following(rows.withColumn("k", F.xxhash64("doc_id", "text")), above), "k", "left").withColumn("lp", F.col("lp") + F.coalesce("f_lp", F.lit(0.0)))
     # Rows alike in doc_id and text share a key: their sums are shared out again, one row each.
     whole = whole.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
     each = lambda c: F.expr(f"{c} div m")
