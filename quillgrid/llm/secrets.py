@@ -54,7 +54,7 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 
 #: A query is True (any row), or ("and" | "or", parts) over trigrams and queries.
