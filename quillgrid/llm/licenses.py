@@ -70,7 +70,9 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, percent: i
     sets = {r["label"]: (r["words"], r["n"]) for r in template_words(given).collect()}
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).where("text is not null")
     universe = sorted({w for own, _ in sets.values() for w in own})
-    text = text.withColumn("have", F.array_intersect(words(F.col("text")), F.lit(universe)))
+    # Explode of one element: filters are not pushed below it, so what it holds is found once a row.
+    once = lambda c: F.explode(F.array(c))
+    text = text.select("*", once(F.array_intersect(words(F.col("text")), F.lit(universe))).alias("have"))
     held = text.select(F.explode("have").alias("w"))
     # One row for each word of the templates at most.
     df = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -88,11 +90,11 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, percent: i
     # Once for each template: at the first of its words that the text holds.
     met = met.where((F.get(F.array_intersect("prefix", "have"), F.lit(0)) == F.col("w")) & (F.size(F.array_intersect("have", "own")) >= F.col("need")))
     places = F.filter(F.transform(words(F.col("text")), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("own", x["w"]))
-    met = met.select("doc_id", "text_hash", "label", "need", "size", "span", places.alias("places"))
+    met = met.select("doc_id", "text_hash", "label", "need", "size", "span", once(places).alias("places"))
     # A run from a place on has at most ``span`` of the next places.
     near = lambda x, k: F.filter(F.slice("places", k + 1, F.col("span")), lambda y: y["i"] < x["i"] + F.col("span"))
     best = F.array_max(F.transform("places", lambda x, k: F.size(F.array_distinct(F.transform(near(x, k), lambda y: y["w"])))))
-    met = met.select("doc_id", "text_hash", "label", "need", "size", best.alias("both")).where("both >= need")
+    met = met.select("doc_id", "text_hash", "label", "need", "size", once(best).alias("both")).where("both >= need")
     return met.select("doc_id", "text_hash", "label", (F.col("both") / F.col("size")).alias("containment")).distinct()
 
 
