@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import kernel as K
-from quillgrid.llm.scratch import release, settle
+from quillgrid.llm.scratch import discard, release, settle
 
 DEPTH, LEAST, GAIN, PRIOR, SYMBOLS = 7, 32, 8.0, 2.0, 257
 #: Rows of a tree (16 bytes each) that are broadcast at most; a larger tree is joined.
@@ -227,7 +227,7 @@ def train(vocabulary: DataFrame, ends: int) -> DataFrame:
         counts = counts.unionByName(end)
     counts = settle(counts, "contexts")
     release(spark)
-    out, lower = [], None
+    out, lower, done = [], None, [counts]
     for d in range(DEPTH + 1):
         own = counts.where(F.col("d") == d)
         total = own.groupBy("context").agg(F.sum("c").alias("t"))
@@ -241,6 +241,8 @@ def train(vocabulary: DataFrame, ends: int) -> DataFrame:
         gain = own.groupBy("context").agg(F.sum(F.col("c") * (F.col("p") - F.col("below"))).alias("gain"))
         kept = F.lit(True) if d == 0 else F.col("gain") >= GAIN
         own = settle(own.join(gain, "context").select("context", "symbol", "t", "below", "p", kept.alias("kept")), "depth")
+        done.append(own)
+        release(spark)
         lower = own.select(F.col("context").alias("suffix"), "symbol", F.when(F.col("kept"), F.col("p")).otherwise(F.col("below")).alias("below"))
         back = F.log(PRIOR / (F.col("t") + PRIOR))
         held = own.where("kept")
@@ -254,7 +256,10 @@ def train(vocabulary: DataFrame, ends: int) -> DataFrame:
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
-    return settle(rows.mapInArrow(run, "d int, context bigint, symbol int, key bigint, delta double"), "tree")
+    tree = settle(rows.mapInArrow(run, "d int, context bigint, symbol int, key bigint, delta double"), "tree")
+    discard(*done)
+    release(spark)
+    return tree
 
 
 def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +275,10 @@ def found(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.nda
     keys, deltas = table
     if not len(keys):
         return np.zeros(len(key), bool), np.zeros(len(key))
-    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    order = np.argsort(key)  # neighbours look up neighbours
+    i = np.empty(len(key), np.int64)
+    i[order] = np.searchsorted(keys, key[order])
+    i = np.minimum(i, len(keys) - 1)
     here = keys[i] == key
     return here, np.where(here, deltas[i], 0.0)
 
@@ -405,12 +413,13 @@ def word_tree(rows: DataFrame, words_: DataFrame, ends: int, held: int = HELD) -
     seen = words_.where(F.col("h") != np.uint64(END_WORD).astype(np.int64).item()).select("h", "c").unionByName(start).where(F.col("c") >= LEAST)
     contexts = settle(seen.mapInArrow(first, "context bigint, t bigint").withColumn("suffix", F.lit(None).cast("bigint")), "contexts")
     lower = words_.select(F.col("h").alias("w"), F.col("lp").alias("below"))
-    tree = None
+    tree, done = None, [contexts]
     for d in range(1, ORDER + 1):
         few = contexts.limit(held + 1).count() <= held
         wanted = gathered(contexts.select(F.col("context").alias("key"), F.lit(0.0).alias("delta"))) if few else None
         own = followers(rows, d, wanted).join(contexts, "context")
         own = settle(own.join(lower, ["w"] if d == 1 else ["suffix", "w"]).select("context", "suffix", "w", "c", "t", "below"), "followers")
+        counted = own
         release(spark)
         free = own.groupBy("context").agg((F.max("t") - F.sum(F.col("c") - 1)).alias("f"), (F.max("t") - F.sum("c")).alias("once"))
         own = own.join(free, "context").withColumn("b", F.pow(F.lit(10.0), "below"))
@@ -422,16 +431,22 @@ def word_tree(rows: DataFrame, words_: DataFrame, ends: int, held: int = HELD) -
         own = own.withColumn("p", F.when(F.col("kept"), p).otherwise(F.col("below"))).withColumn("back", F.log10(F.col("f") / F.col("t")))
         own = own.select("context", "suffix", "w", "c", "below", "p", "back", "kept")
         own = settle(own.mapInArrow(keyed, "context bigint, suffix bigint, w bigint, c bigint, below double, p double, back double, kept boolean, longer bigint, less bigint, any bigint"), "followers")
+        discard(counted)
+        done.append(own)
         new = own.where("kept").select(F.col("any").alias("key"), F.col("back").alias("delta")).distinct()
         new = new.unionByName(own.where("kept").select(F.col("longer").alias("key"), (F.col("p") - F.col("below") - F.col("back")).alias("delta")))
         tree = new if tree is None else tree.unionByName(new)
         lower = own.select(F.col("context").alias("suffix"), "w", F.col("p").alias("below"))
         last = F.col("w") != np.uint64(END_WORD).astype(np.int64).item()
         contexts = settle(own.where(last & (F.col("c") >= LEAST)).select(F.col("longer").alias("context"), F.col("c").alias("t"), F.col("less").alias("suffix")), "contexts")
+        done.append(contexts)
         release(spark)
         if contexts.isEmpty():
             break
-    return settle(tree, "word_tree")
+    out = settle(tree, "word_tree")
+    discard(*done)
+    release(spark)
+    return out
 
 
 def followed(column: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -474,7 +489,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFr
     facts = vocabulary.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = (facts[0] or 0) + ends, facts[1] + (ends > 0)
     release(spark)
-    with_tree, end_tree = spellings(vocabulary.select("h", "word", "n", "c"), train(vocabulary, ends), held)
+    tree = train(vocabulary, ends)
+    with_tree, end_tree = spellings(vocabulary.select("h", "word", "n", "c"), tree, held)
     release(spark)
 
     def mixed(c: np.ndarray, tree_lp: np.ndarray) -> np.ndarray:
@@ -488,6 +504,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFr
     base = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
     scored = with_tree.select("h", "c", "tree_lp", "n").mapInArrow(score_words, "h bigint, n bigint, c bigint, lp double").withColumn("base", base)
     scored = settle(scored, "scored")
+    discard(tree, vocabulary)
+    release(spark)
     # At most ``frequent`` rows; which ones changes where the adding is done, not the sum.
     top = scored.orderBy(F.desc("n"), "h").limit(frequent).toArrow()
     order = np.argsort(top.column("h").to_numpy())
