@@ -89,7 +89,7 @@ def words(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACES) -> tup
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """64-bit hash of data[starts[i]:ends[i]]: a polynomial by prefix sums, then mixed. Spans ascend and don't overlap."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
@@ -118,8 +118,43 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return splitmix(out)
 
 
-def batches(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
-    """Slices of a batch whose ``column`` holds about ``most`` bytes at the most, so that memory stays bounded."""
+class Table:
+    """Values by 64-bit keys that are spread evenly (hashes): sorted, with an index on their leading bits."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        keys = np.asarray(keys).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = [np.asarray(v)[order] for v in values]
+        bits = max(len(keys).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Where each key stands, or -1."""
+        asked = asked.view(np.uint64)
+        slot = asked >> self.shift
+        at, end = self.first[slot], self.first[slot + np.uint64(1)]
+        out = np.full(len(asked), -1, dtype=np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = self.keys[at[left]] == asked[left]
+            out[left[here]] = at[left[here]]
+            left = left[~here]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+#: Bytes of text that are worked on at once: temporary arrays are some twenty times as large.
+SLICE = 1 << 20
+
+
+def batches(batch: pa.RecordBatch, column: str, most: int = SLICE):
+    """Slices of a batch whose ``column`` holds about ``most`` bytes at the most (or one text), so that memory stays bounded."""
     _, off = buffer_of(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, len(off) - 1
     while i < n:
