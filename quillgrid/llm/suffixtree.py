@@ -1,46 +1,42 @@
-"""Language-model scores by a probabilistic suffix tree over the bytes of words.
-
-The corpus is gathered into exact counts of every distinct word (training rows apart),
-and these weigh a suffix tree: a context is a run of up to DEPTH bytes before a symbol,
-back to the space that opens the word; symbols are bytes, the closing space and the
-end of the text. A context is a candidate if it is seen LEAST times, a fixed count, so
-the tree grows with the corpus. It is retained if its next-symbol distribution diverges
-from that of its longest proper suffix: count times Kullback-Leibler divergence of at least
-GAIN nats. Distributions are smoothed by their suffix's with weight PRIOR, the root's by
-the uniform one. A symbol is scored in the longest retained suffix of what precedes it.
-
-The tree is grown depth by depth with joins and stays a table: what a retained context adds
-to the log probability of any symbol over its suffix's, and what it adds besides for each
-symbol it has seen. Along the suffixes of a place these sum to the score in the longest
-retained one, so places need no order: a table of at most HELD rows is broadcast, a larger
-one is joined by key, all but its two lowest depths (at most 257 * 257 contexts).
-
-The tree spells words that are new or rare; at its root stand the training words
-themselves, discounted: P(w) = (max(c - DISCOUNT, 0) + DISCOUNT * V * tree(w)) / N, which
-sums to one and hands what the discount frees to the tree.
-
-Above the words stands a second suffix tree, over the running text: its symbols are words
-and ends of texts, its contexts runs of up to ORDER words before them, from the start of
-the text on and across word boundaries, counted over whole training texts. A context is a
-candidate if seen LEAST times, and retained if what follows it diverges from what its
-longest retained suffix says by GAIN nats, each occurrence left out of its own estimate.
-P(w | s) = (max(c - 1, 0) + F * P(w | suffix)) / t with F distinct followers in t places,
-which sums to one; P(w) above stands at the root. So the order of words counts, and this
-tree too is a table of what contexts add, broadcast up to HELD rows and joined beyond.
-
-Scores of distinct words are found once. A text adds up its words': the FREQUENT most
-frequent ones (a fixed number, broadcast) in place, others by a join on the word's hash
-with rows already summed by text and word.
+"""Language-model scores by a probabilistic suffix tree over the words of running text.
+
+Symbols are the tokens of a text, its words and one end. A context is a run of up to
+ORDER tokens before a symbol, from the start of the text on. The root's distribution is
+P(w) = (c + 0.1) / (N + 0.1 (V + 1)) of the training tokens, all unknown words as one.
+A context s is a candidate if it is seen LEAST times, a fixed count, so the tree grows
+with the corpus. Its own symbols S are those seen c(s, w) >= 2 times whose share of it
+diverges from what its longest retained suffix says: c ln((c - 1) / (t P(w | suffix))) of
+at least OWN nats, t its occurrences. With F = t - sum over S of (c - 1),
+P(w | s) = ((c - 1 if w in S else 0) + F * P(w | suffix)) / t, which sums to one. The context
+is retained if that diverges from the suffix's distribution: log likelihood of its
+occurrences over the suffix's, each left out of its own estimate, of at least GAIN nats.
+Every symbol is scored in the longest retained suffix of what precedes it.
+
+The tree is grown order by order over whole training texts: counts of (context, symbol)
+are combined in each slice of text, in each task and then by a shuffle on both, so a
+frequent context is spread over tasks; divergence is summed by context and pruned in
+Spark, and only retained contexts go on. The tree is kept as two tables: what a retained
+context adds to the log probability of any symbol over its suffix's, log10(F / t), and
+what it adds besides for a symbol of its own. Along the suffixes of a place these sum
+to the score in the longest retained one, so places need no order.
+
+A text adds up its tokens' scores. Nothing is gathered before it was counted. Of words and
+of pairs of a context and a symbol the most frequent ones (at most FREQUENT each, down to a
+count that a histogram tells) are broadcast and added in place; the rest is asked for by
+key and joined. A bit map of at most 2**BITS bits leaves out most of the pairs that are
+not in the tree. Contexts are broadcast if they are at most HELD; beyond it, they and all
+pairs are joined. Words and contexts are told apart by 64-bit hashes.
 
 Defined results: null and blank texts have one token, the end; the words of rows held
 out are scored like any others; rows alike in doc_id and text are scored each; a null
-doc_id trains; without training rows base_score uses N = V = 0 and the tree is uniform;
+doc_id trains; without training rows N = V = 0 and every token has the probability one;
 extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,513 +44,311 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import kernel as K
-from quillgrid.llm.scratch import discard, release, settle
+from quillgrid.llm.scratch import discard, release, settle, small
 
-DEPTH, LEAST, GAIN, PRIOR, SYMBOLS = 7, 32, 8.0, 2.0, 257
-#: Rows of a tree (16 bytes each) that are broadcast at most; a larger tree is joined.
-HELD = 1 << 21
-FREQUENT = 1 << 18
-DISCOUNT = 0.5
-SPACE, END = 0x20, 0x0A
-#: Words of a context at most; hashes that stand for the start and the end of a text, and that tell contexts from pairs.
-ORDER = 3
-START_WORD, END_WORD, ROLE = 0x51A27C0DE5EED001, 0x51A27C0DE5EED002, 0x2545F4914F6CDD1D
+ORDER, LEAST, GAIN, OWN = 3, 32, 8.0, 2.0
+#: Contexts (24 bytes each) that are broadcast at most; more are joined.
+HELD = 1 << 20
+#: Words, and pairs of a context and a symbol, that are broadcast at most.
+FREQUENT = 1 << 19
+#: Bits of the map of pairs that are joined, as a power of two, at most.
+BITS = 27
+#: Hashes that stand for the start and the end of a text.
+START_WORD, END_WORD = 0x51A27C0DE5EED001, 0x51A27C0DE5EED002
+END = np.uint64(END_WORD).astype(np.int64).item()
+SLICE = 2 << 20
 
 
-def _word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    size = ends - starts
-    off = np.concatenate([[0], np.cumsum(size)])
-    body = data[np.arange(int(off[-1])) + np.repeat(starts - off[:-1], size)]
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())])
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, word, n, c): each distinct word's hash and bytes, its tokens in all and in training rows of ``docs`` (text, train)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in K.batches(whole, "text"):
-                data, off = K.buffer_of(batch.column(0))
-                data = K.LOWER[data]
-                starts, ends, first = K.words(data, off)
-                h = K.span_hashes(data, starts, ends)
-                train = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-                order = np.argsort(h)
-                ranked = h[order]
-                head = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.append(head, len(h)))
-                c = np.add.reduceat(train[order].astype(np.int64), head) if len(h) else n
-                at = order[head]
-                yield pa.record_batch([pa.array(ranked[head].view(np.int64)), _word_array(data, starts[at], ends[at]).cast(pa.binary()), pa.array(n), pa.array(c)], names=["h", "word", "n", "c"])
-
-    got = docs.select("text", "train").mapInArrow(run, "h bigint, word binary, n bigint, c bigint")
-    return got.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-
-
-def _symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each word with a space before and after, and the bounds of words."""
-    words = words.cast(pa.large_binary())
-    _, offsets, body = words.buffers()
-    off = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
-    size = np.diff(off)
-    bounds = np.concatenate([[0], np.cumsum(size + 2)])
-    out = np.full(int(bounds[-1]), SPACE, dtype=np.uint8)
-    if size.sum():
-        src = np.frombuffer(body, dtype=np.uint8)[off[0] : off[-1]]
-        out[np.arange(len(src)) + np.repeat(bounds[:-1] + 1 - (off[:-1] - off[0]), size)] = src
-    return out, bounds
-
-
-def _contexts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each depth: the places that have so long a context inside their word, and the context packed into a number."""
-    back = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
-    at = np.flatnonzero(back >= 1)
-    packed = np.zeros(len(data), dtype=np.uint64)
-    yield 0, at, packed[at]
-    for d in range(1, DEPTH + 1):
-        at = at[back[at] >= d]
-        packed[at] |= data[at - d].astype(np.uint64) << np.uint64(8 * (d - 1))
-        yield d, at, packed[at]
-
-
-def context_counts(vocabulary: DataFrame) -> DataFrame:
-    """(d, context, symbol, c): how often each symbol follows each context, over training words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = _symbols(batch.column(0))
-            weight = np.repeat(batch.column(1).to_numpy(), np.diff(bounds))
-            for d, at, context in _contexts(data, bounds):
-                order = np.lexsort((data[at], context))
-                c, s, w = context[order], data[at][order], weight[at][order]
-                if len(c):
-                    head = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
-                    yield pa.record_batch([pa.array(np.full(len(head), d, np.int32)), pa.array(c[head].view(np.int64)), pa.array(s[head].astype(np.int32)), pa.array(np.add.reduceat(w, head))], names=["d", "context", "symbol", "c"])
-
-    got = vocabulary.where("c > 0").select("word", "c").mapInArrow(run, "d int, context bigint, symbol int, c bigint")
-    return got.groupBy("d", "context", "symbol").agg(F.sum("c").alias("c"))
-
-
-class SuffixTree:
-    """Retained contexts of each depth with their smoothed distributions, as sorted arrays."""
-
-    def __init__(self, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], ends: int) -> None:
-        """``parts``: contexts, symbols and counts of candidates for each depth from 0; ``ends``: texts seen, which adds the end after a space.
-
-        A depth is taken in, pruned and let go before the next one comes.
-        """
-        self.keys: list[np.ndarray] = []
-        self.back: list[np.ndarray] = []
-        self.pairs: list[np.ndarray] = []
-        self.logs: list[np.ndarray] = []
-        for d, (context, symbol, c) in enumerate(parts):
-            context, symbol, c = np.asarray(context, np.int64).view(np.uint64), np.asarray(symbol).astype(np.uint64), np.asarray(c).astype(float)
-            if d < 2 and ends:
-                extra = [np.uint64(SPACE if d else 0)], [np.uint64(END)], [float(ends)]
-                context, symbol, c = (np.append(x, y) for x, y in zip((context, symbol, c), extra, strict=True))
-            key, group = np.unique(context, return_inverse=True)
-            total = np.bincount(group, c, len(key)) if len(key) else np.zeros(0)
-            if d == 0:
-                key, total = np.zeros(1, np.uint64), np.array([c.sum()])
-                group, below = np.zeros(len(c), np.int64), np.full(len(c), -np.log(SYMBOLS))
-            else:
-                mask = np.uint64((1 << (8 * (d - 1))) - 1)
-                below = self._log(d - 1, context & mask, symbol)
-            p = np.log((c + PRIOR * np.exp(below)) / (total[group] + PRIOR))
-            keep = np.ones(len(key), dtype=bool)
-            if d:
-                keep = np.bincount(group, c * (p - below), len(key)) >= GAIN
-            kept = keep[group] if len(group) else np.zeros(0, bool)
-            number = np.cumsum(keep) - 1
-            self.keys.append(key[keep])
-            self.back.append(np.log(PRIOR / (total[keep] + PRIOR)))
-            pair = number[group[kept]].astype(np.uint64) * np.uint64(256) + symbol[kept]
-            order = np.argsort(pair)
-            self.pairs.append(pair[order])
-            self.logs.append(p[kept][order])
-
-    def _log(self, d: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log P(symbol) in the longest retained suffix of ``context`` of at most d bytes."""
-        out = np.zeros(len(context))
-        open_ = np.arange(len(context))
-        for e in range(d, -1, -1):
-            if not len(open_):
-                break
-            own = context[open_] & np.uint64((1 << (8 * e)) - 1)
-            keys = self.keys[e]
-            i = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            here = keys[i] == own if len(keys) else np.zeros(len(own), bool)
-            pair = i.astype(np.uint64) * np.uint64(256) + symbol[open_]
-            pairs = self.pairs[e]
-            j = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
-            seen = here & (pairs[j] == pair) if len(pairs) else np.zeros(len(own), bool)
-            out[open_[seen]] += self.logs[e][j[seen]]
-            unseen = here & ~seen
-            out[open_[unseen]] += self.back[e][i[unseen]]
-            open_ = open_[~seen]
-        out[open_] -= np.log(SYMBOLS)
-        return out
-
-    def word_scores(self, words: pa.Array) -> np.ndarray:
-        """log10 probability of each word with its closing space, after a space."""
-        data, bounds = _symbols(words)
-        out = np.zeros(len(data))
-        deepest = np.zeros(len(data), dtype=np.int64)
-        packed = np.zeros(len(data), dtype=np.uint64)
-        for d, at, context in _contexts(data, bounds):
-            packed[at], deepest[at] = context, d
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(deepest == d)
-            out[at] = self._log(d, packed[at], data[at].astype(np.uint64))
-        return np.add.reduceat(out, bounds[:-1]) / np.log(10) if len(words) else np.zeros(0)
-
-    def end_score(self) -> float:
-        return float(self._log(1, np.array([SPACE], np.uint64), np.array([END], np.uint64))[0] / np.log(10))
-
-
-def tree_keys(d: np.ndarray | int, context: np.ndarray, symbol: np.ndarray | int) -> np.ndarray:
-    """The key of a context's row for ``symbol``, or of its row for any symbol (-1)."""
-    at = K.splitmix(context.astype(np.uint64) + np.asarray(d).astype(np.uint64) * np.uint64(K.MULT))
-    return K.splitmix(at + (np.asarray(symbol) + 2).astype(np.uint64)).view(np.int64)
-
-
-def train(vocabulary: DataFrame, ends: int) -> DataFrame:
-    """(d, context, symbol, key, delta): the tree of ``vocabulary`` (word, c), a settled table; symbol -1 is any symbol. Nothing is gathered."""
-    spark = vocabulary.sparkSession
-    counts = context_counts(vocabulary)
-    if ends:
-        end = spark.createDataFrame([(0, 0, END, ends), (1, SPACE, END, ends)], "d int, context bigint, symbol int, c bigint")
-        counts = counts.unionByName(end)
-    counts = settle(counts, "contexts")
-    release(spark)
-    out, lower, done = [], None, [counts]
-    for d in range(DEPTH + 1):
-        own = counts.where(F.col("d") == d)
-        total = own.groupBy("context").agg(F.sum("c").alias("t"))
-        own = own.join(total if d == 0 else total.where(F.col("t") >= LEAST), "context").select("context", "symbol", "c", "t")
-        if d == 0:
-            own = own.withColumn("below", F.lit(-float(np.log(SYMBOLS))))
-        else:  # a context's suffix is seen with all its symbols, as often at least
-            suffix = F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1).cast("bigint"))
-            own = own.withColumn("suffix", suffix).join(lower, ["suffix", "symbol"])
-        own = own.withColumn("p", F.log((F.col("c") + PRIOR * F.exp("below")) / (F.col("t") + PRIOR)))
-        gain = own.groupBy("context").agg(F.sum(F.col("c") * (F.col("p") - F.col("below"))).alias("gain"))
-        kept = F.lit(True) if d == 0 else F.col("gain") >= GAIN
-        own = settle(own.join(gain, "context").select("context", "symbol", "t", "below", "p", kept.alias("kept")), "depth")
-        done.append(own)
-        release(spark)
-        lower = own.select(F.col("context").alias("suffix"), "symbol", F.when(F.col("kept"), F.col("p")).otherwise(F.col("below")).alias("below"))
-        back = F.log(PRIOR / (F.col("t") + PRIOR))
-        held = own.where("kept")
-        out += [held.select(F.lit(d).alias("d"), "context", F.lit(-1).alias("symbol"), back.alias("delta")).distinct(), held.select(F.lit(d).alias("d"), "context", "symbol", (F.col("p") - F.col("below") - back).alias("delta"))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, context, symbol, _ = (c.to_numpy() for c in batch.columns)
-            yield pa.record_batch([*batch.columns[:3], pa.array(tree_keys(d, context, symbol)), batch.column(3)], names=["d", "context", "symbol", "key", "delta"])
-
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    tree = settle(rows.mapInArrow(run, "d int, context bigint, symbol int, key bigint, delta double"), "tree")
-    discard(*done)
-    release(spark)
-    return tree
-
-
-def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and their deltas, of a table that was counted first."""
-    got = rows.select("key", "delta").toArrow()
-    key, delta = (got.column(i).to_numpy() for i in (0, 1))
-    order = np.argsort(key)
-    return key[order], delta[order]
-
-
-def found(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is in the table, and its delta or 0."""
-    keys, deltas = table
-    if not len(keys):
-        return np.zeros(len(key), bool), np.zeros(len(key))
-    order = np.argsort(key)  # neighbours look up neighbours
-    i = np.empty(len(key), np.int64)
-    i[order] = np.searchsorted(keys, key[order])
-    i = np.minimum(i, len(keys) - 1)
-    here = keys[i] == key
-    return here, np.where(here, deltas[i], 0.0)
-
-
-def spelt(words: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log probability of each word with its closing space, after a space, as far as ``table`` holds the tree."""
-    data, bounds = _symbols(words)
-    out = np.zeros(len(data))
-    for d, at, context in _contexts(data, bounds):
-        if d == 0:
-            out[at] -= np.log(SYMBOLS)
-        here, delta = found(table, tree_keys(d, context, -1))
-        out[at] += delta
-        at = at[here]
-        out[at] += found(table, tree_keys(d, context[here], data[at].astype(np.int64)))[1]
-    return np.add.reduceat(out, bounds[:-1]) if len(words) else np.zeros(0)
-
-
-def ended(table: tuple[np.ndarray, np.ndarray]) -> float:
-    """log probability of the end after a space; only depths 0 and 1 have it."""
-    out = -float(np.log(SYMBOLS))
-    for d, context in ((0, 0), (1, SPACE)):
-        context = np.array([context], np.uint64)
-        here, delta = found(table, tree_keys(d, context, -1))
-        out += float(delta[0] + (found(table, tree_keys(d, context, END))[1][0] if here[0] else 0.0))
-    return out
-
-
-def spellings(vocabulary: DataFrame, tree: DataFrame, held: int = HELD) -> tuple[DataFrame, float]:
-    """``vocabulary`` (h, word, ...) with ``tree_lp``, log10 of what the tree gives each word, and that of the end."""
-    spark = vocabulary.sparkSession
-    whole = tree.limit(held + 1).count() <= held
-    table = gathered(tree if whole else tree.where("d < 2"))
-    send = spark.sparkContext.broadcast(table)
-    names = vocabulary.columns
-    place = names.index("word")
-    kinds = ", ".join(f"{n} {t}" for n, t in vocabulary.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(spelt(batch.column(place), send.value) / np.log(10))], names=[*names, "tree_lp"])
-
-    out = vocabulary.mapInArrow(run, f"{kinds}, tree_lp double")
-    if not whole:
-
-        def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, bounds = _symbols(batch.column(1))
-                h = np.repeat(batch.column(0).to_numpy(), np.diff(bounds))
-                for d, at, context in _contexts(data, bounds):
-                    if d > 1:
-                        for symbol in (-1, data[at].astype(np.int64)):
-                            yield pa.record_batch([pa.array(h[at]), pa.array(tree_keys(d, context, symbol))], names=["h", "key"])
-
-        asked = vocabulary.select("h", "word").mapInArrow(deep, "h bigint, key bigint").join(tree.where("d > 1").select("key", "delta"), "key")
-        more = asked.groupBy("h").agg((F.sum("delta") / float(np.log(10))).alias("more"))
-        out = out.join(more, "h", "left").withColumn("tree_lp", F.col("tree_lp") + F.coalesce("more", F.lit(0.0))).drop("more")
-    return out, ended(table) / float(np.log(10))
+def fold(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a context with one more word."""
+    return K.splitmix(context * np.uint64(K.MULT) + word)
 
 
-def folds(seq: np.ndarray, count: int) -> Iterator[np.ndarray]:
+def folds(seq: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For d = 1, 2, ...: the key of the d words that end at each place of ``seq``; the first d - 1 places mean nothing."""
     key = K.splitmix(seq)
     yield key
-    for _ in range(1, count):
+    for _ in range(1, order):
         key = fold(np.concatenate([key[:1], key[:-1]]), seq)
         yield key
 
 
-def fold(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a context with one more word."""
-    return K.splitmix(context * np.uint64(K.MULT) + word)
-
-
-def any_key(context: np.ndarray) -> np.ndarray:
-    """The key of what a context adds for any word."""
-    return K.splitmix(context ^ np.uint64(ROLE))
-
-
-def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of texts with the start and the end of each, their rows and their places."""
     data, off = K.buffer_of(column)
-    starts, ends, first = K.words(K.LOWER[data], off)
-    h = K.span_hashes(K.LOWER[data], starts, ends)
+    data = K.LOWER[data]
+    starts, ends, first = K.words(data, off)
     size = np.diff(first) + 2
     bounds = np.concatenate([[0], np.cumsum(size)])
-    seq = np.full(int(bounds[-1]), START_WORD, np.uint64)
     row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(seq)) - bounds[row]
-    seq[(place > 0) & (place < size[row] - 1)] = h
+    place = np.arange(len(row)) - bounds[row]
+    inner = np.ones(len(row), dtype=bool)
+    inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
+    seq = np.full(len(row), START_WORD, np.uint64)
+    seq[inner] = K.span_hashes(data, starts, ends)
     seq[bounds[1:] - 1] = END_WORD
     return seq, row, place
 
 
-def followers(rows: DataFrame, d: int, wanted: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(context, w, c): words that follow a context of d words twice or more, over whole training texts; ``wanted`` holds the contexts asked for, if few."""
-    send = rows.sparkSession.sparkContext.broadcast(wanted)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from K.batches(whole, "text", SLICE)
+
+
+def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key stands first, and how often it does."""
+    order = np.argsort(key)
+    ranked = key[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), ranked[1:] != ranked[:-1]]))
+    return order[head], np.diff(np.append(head, len(key)))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(h, c): training tokens of each word and of the end, over ``rows`` (text, train)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in K.batches(whole, "text", 4 << 20):
-                seq, _, place = _sequences(batch.column(0))
-                *_, key = folds(seq, d)
-                at = np.flatnonzero(place >= d)
-                context, w = key[at - 1].view(np.int64), seq[at].view(np.int64)
-                if send.value is not None:
-                    here = found(send.value, context)[0]
-                    context, w = context[here], w[here]
-                yield pa.record_batch([pa.array(context), pa.array(w)], names=["context", "w"])
+        for batch in slices(batches):
+            seq, _, place = sequences(batch.column(0))
+            seq = seq[place > 0]
+            at, c = counted(seq)
+            yield pa.record_batch([pa.array(seq[at].view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    return rows.where("train").select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
-    got = rows.where("train").select("text").mapInArrow(run, "context bigint, w bigint")
-    return got.groupBy("context", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
 
+def gathered(rows: DataFrame) -> K.Table:
+    """A table (key, value, ...) that was counted first."""
+    got = rows.toArrow()
+    return K.Table(*(got.column(i).to_numpy() for i in range(got.num_columns)))
 
-def word_tree(rows: DataFrame, words_: DataFrame, ends: int, held: int = HELD) -> DataFrame:
-    """(key, delta): the tree over words of ``rows`` (text, train); ``words_`` (h, c, lp) has training counts and log10 P(w) of all words and the end."""
+
+def followers(rows: DataFrame, contexts: DataFrame, d: int, words: K.Table, part: float, held: int) -> DataFrame:
+    """Symbols seen twice or more after each of ``contexts`` (context, t, chain, u1, ...) of d words, over whole training texts.
+
+    (context, w, c, t, chain, root, longer, u1, ...): root is log10 of the root's P(w), null for a word that is not in ``words``,
+    longer the key of context and symbol, u1, u2, ... those of its suffixes, the longest first. Of contexts of one word, symbols
+    that are neither their own nor seen LEAST times are left out here.
+    """
+    few = contexts.limit(held + 1).count() <= held
+    table = gathered(contexts) if few else None
+    send = rows.sparkSession.sparkContext.broadcast((table, words))
+    shorter = [f"u{k}" for k in range(1, d)]
+    names = ["context", "w", "c", "t", "chain", "root", "longer", *(f"u{k}" for k in range(1, d + 1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, _ = send.value
+        for batch in slices(batches):
+            seq, _, place = sequences(batch.column(0))
+            *_, key = folds(seq, d)
+            at = np.flatnonzero(place >= d)
+            context, w = key[at - 1], seq[at]
+            told = context.view(np.int64)
+            if table is not None:  # contexts travel as their places in the table, which pack better
+                told = table.find(context)
+                here = told >= 0
+                context, w, told = context[here], w[here], told[here]
+            first, c = counted(fold(context, w))
+            yield pa.record_batch([pa.array(told[first]), pa.array(w[first].view(np.int64)), pa.array(c)], names=["at", "w", "c"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, words = send.value
+        for batch in batches:
+            at, w, c, *more = (x.to_numpy() for x in batch.columns)
+            if table is not None:
+                at, more = table.keys[at].view(np.int64), [x[at] for x in table.values]
+            t, chain, *suffixes = more
+            word = words.find(w)
+            root = np.where(word >= 0, np.log10((np.append(words.values[0], 0)[word] + 0.1) / part), np.nan)
+            keep = np.ones(len(w), bool)
+            if d == 1:
+                keep = (c >= LEAST) | (word < 0) | (c * (np.log((c - 1) / t) - np.log(10) * root) >= OWN)
+            u = [x.view(np.uint64) for x in (at, *suffixes)]
+            w64 = w.view(np.uint64)
+            keys = [fold(x, w64).view(np.int64) for x in u] + [K.splitmix(w64).view(np.int64)]
+            out = [pa.array(x) for x in (at, w, c, t, chain)] + [pa.array(root, from_pandas=True)] + [pa.array(x) for x in keys]
+            yield pa.record_batch([x.filter(pa.array(keep)) for x in out], names=names)
+
+    got = rows.where("train").select("text").mapInArrow(run, "at bigint, w bigint, c bigint")
+    got = got.groupBy("at", "w").agg(F.sum("c").alias("c")).where("c > 1")
+    if not few:
+        got = got.join(contexts.withColumnRenamed("context", "at"), "at").select("at", "w", "c", "t", "chain", *shorter)
+    kinds = {"chain": "double", "root": "double"}
+    return got.mapInArrow(keyed, ", ".join(f"{x} {kinds.get(x, 'bigint')}" for x in names))
+
+
+def train(rows: DataFrame, vocabulary: DataFrame, words: K.Table, part: float, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """The tree of ``rows`` (text, train), two settled tables: (key, delta) of contexts, (key, delta, c) of pairs seen c times.
+
+    ``vocabulary`` (h, c) has the training counts of words and the end, ``words`` those of frequent ones, ``part`` is N + 0.1 (V + 1).
+    """
     spark = rows.sparkSession
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([pa.array(K.splitmix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), batch.column(1)], names=["context", "t"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, suffix, w = (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in range(3))
-            longer = fold(context, w)
-            less = np.where(np.asarray(batch.column(1).is_null()), K.splitmix(w), fold(suffix, w))
-            more = [pa.array(x.view(np.int64)) for x in (longer, less, any_key(context))]
-            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "longer", "less", "any"])
-
-    start = spark.createDataFrame([(np.uint64(START_WORD).astype(np.int64).item(), ends)], "h bigint, c bigint")
-    seen = words_.where(F.col("h") != np.uint64(END_WORD).astype(np.int64).item()).select("h", "c").unionByName(start).where(F.col("c") >= LEAST)
-    contexts = settle(seen.mapInArrow(first, "context bigint, t bigint").withColumn("suffix", F.lit(None).cast("bigint")), "contexts")
-    lower = words_.select(F.col("h").alias("w"), F.col("lp").alias("below"))
-    tree, done = None, [contexts]
+    # Each training text has one start and one end.
+    start = F.when(F.col("h") == END, np.uint64(START_WORD).astype(np.int64).item()).otherwise(F.col("h"))
+    contexts = vocabulary.where(F.col("c") >= LEAST).select(start.alias("h"), "c").mapInArrow(first, "context bigint, t bigint")
+    contexts = settle(contexts.withColumn("chain", F.lit(0.0)), "contexts")
+    root = vocabulary.select(F.col("h").alias("w"), F.log10((F.col("c") + 0.1) / part).alias("seldom"))
+    states, pairs, done = [], [], [contexts]
     for d in range(1, ORDER + 1):
-        few = contexts.limit(held + 1).count() <= held
-        wanted = gathered(contexts.select(F.col("context").alias("key"), F.lit(0.0).alias("delta"))) if few else None
-        own = followers(rows, d, wanted).join(contexts, "context")
-        own = settle(own.join(lower, ["w"] if d == 1 else ["suffix", "w"]).select("context", "suffix", "w", "c", "t", "below"), "followers")
-        counted = own
+        found = settle(followers(rows, contexts, d, words, part, held), "followers")
         release(spark)
-        free = own.groupBy("context").agg((F.max("t") - F.sum(F.col("c") - 1)).alias("f"), (F.max("t") - F.sum("c")).alias("once"))
-        own = own.join(free, "context").withColumn("b", F.pow(F.lit(10.0), "below"))
-        out_of = F.col("c") * F.log((F.col("c") - 2 + F.col("f") * F.col("b")) / ((F.col("t") - 1) * F.col("b")))
-        once = F.when(F.col("once") > 0, F.col("once") * F.log((F.col("f") - 1) / (F.col("t") - 1))).otherwise(0.0)
-        gain = own.groupBy("context").agg((F.sum(out_of) + F.max(once)).alias("gain"))
-        own = own.join(gain, "context").withColumn("kept", F.col("gain") >= GAIN)
-        p = F.log10((F.col("c") - 1 + F.col("f") * F.col("b")) / F.col("t"))
-        own = own.withColumn("p", F.when(F.col("kept"), p).otherwise(F.col("below"))).withColumn("back", F.log10(F.col("f") / F.col("t")))
-        own = own.select("context", "suffix", "w", "c", "below", "p", "back", "kept")
-        own = settle(own.mapInArrow(keyed, "context bigint, suffix bigint, w bigint, c bigint, below double, p double, back double, kept boolean, longer bigint, less bigint, any bigint"), "followers")
-        discard(counted)
-        done.append(own)
-        new = own.where("kept").select(F.col("any").alias("key"), F.col("back").alias("delta")).distinct()
-        new = new.unionByName(own.where("kept").select(F.col("longer").alias("key"), (F.col("p") - F.col("below") - F.col("back")).alias("delta")))
-        tree = new if tree is None else tree.unionByName(new)
-        lower = own.select(F.col("context").alias("suffix"), "w", F.col("p").alias("below"))
-        last = F.col("w") != np.uint64(END_WORD).astype(np.int64).item()
-        contexts = settle(own.where(last & (F.col("c") >= LEAST)).select(F.col("longer").alias("context"), F.col("c").alias("t"), F.col("less").alias("suffix")), "contexts")
-        done.append(contexts)
+        rare = found.where("root is null").join(root, "w").withColumn("root", F.col("seldom")).select(*found.columns)
+        own = found.where("root is not null").unionByName(rare).withColumn("below", F.col("root") + F.col("chain"))
+        for k in range(1, d):  # what shorter contexts add for the symbol
+            lower = reduce(DataFrame.unionByName, pairs).select(F.col("key").alias(f"u{k}"), F.col("delta").alias("_add"))
+            own = own.join(lower, f"u{k}", "left").withColumn("below", F.col("below") + F.coalesce("_add", F.lit(0.0))).drop("_add")
+        b = F.pow(F.lit(10.0), "below")
+        own = own.where(F.col("c") * F.log((F.col("c") - 1) / (F.col("t") * b)) >= OWN)
+        own = settle(own.select("context", "c", "t", "longer", "below"), "own")
+        facts = own.groupBy("context").agg((F.max("t") - F.sum(F.col("c") - 1)).alias("f"), (F.max("t") - F.sum("c")).alias("others"), F.max("t").alias("seen"))
+        facts = settle(facts, "facts")
+        gain = own.join(small(facts), "context").groupBy("context").agg(F.sum(F.col("c") * F.log((F.col("c") - 2 + F.col("f") * b) / ((F.col("t") - 1) * b))).alias("gain"))
+        others = F.when(F.col("others") > 0, F.col("others") * F.log((F.col("f") - 1) / (F.col("seen") - 1))).otherwise(0.0)
+        kept = facts.join(gain, "context").where(F.col("gain") + others >= GAIN)
+        kept = settle(kept.select("context", "f", F.log10(F.col("f") / F.col("seen")).alias("back")), "kept")
+        p = F.log10((F.col("c") - 1 + F.col("f") * b) / F.col("t"))
+        new = own.join(small(kept), "context").select(F.col("longer").alias("key"), (p - F.col("below") - F.col("back")).alias("delta"), "c")
+        pairs.append(settle(new, "pairs"))
+        states.append(kept.select(F.col("context").alias("key"), F.col("back").alias("delta")))
+        # The next contexts, with what their suffixes add for any symbol.
+        longer = found.where((F.col("w") != END) & (F.col("c") >= LEAST)).select(F.col("longer").alias("context"), F.col("c").alias("t"), *(f"u{k}" for k in range(1, d + 1)))
+        chains = contexts.select(F.col("context").alias("u1"), "chain").join(kept.select(F.col("context").alias("u1"), "back"), "u1", "left").select("u1", (F.col("chain") + F.coalesce("back", F.lit(0.0))).alias("chain"))
+        contexts = settle(longer.join(chains, "u1").select("context", "t", "chain", *(f"u{k}" for k in range(1, d + 1))), "contexts")
+        discard(found, own, facts)
+        done += [kept, contexts]
         release(spark)
         if contexts.isEmpty():
             break
-    out = settle(tree, "word_tree")
+    out = settle(reduce(DataFrame.unionByName, states), "states"), reduce(DataFrame.unionByName, pairs)
     discard(*done)
-    release(spark)
     return out
 
 
-def followed(column: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """What the contexts in ``table`` add to each text's log10 probability."""
-    seq, row, place = _sequences(column)
-    out = np.zeros(len(column))
-    for d, key in enumerate(folds(seq, ORDER), 1):
+class BitMap:
+    """Which keys may be in a table: a bit for the leading bits of each."""
+
+    def __init__(self, keys: DataFrame, count: int, most: int) -> None:
+        self.bits = min(max((16 * count).bit_length(), 6), most)
+        slot = F.shiftrightunsigned("key", 64 - self.bits)
+        got = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("word"))
+        got = got.toArrow()  # at most 2**(bits - 6) rows
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> np.uint64(64 - self.bits)
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def followed(seq: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int, contexts: K.Table, pairs: K.Table, late: BitMap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What contexts add to each text's log10 probability, as far as ``pairs`` goes; rows and keys of the pairs to be asked for."""
+    out, asking, asked = np.zeros(rows), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for d, key in enumerate(folds(seq, ORDER) if len(contexts) else (), 1):
         at = np.flatnonzero(place >= d)
-        here, delta = found(table, any_key(key[at - 1]).view(np.int64))
-        at, delta = at[here], delta[here]
-        delta = delta + found(table, fold(key[at - 1], seq[at]).view(np.int64))[1]
-        out += np.bincount(row[at], delta, len(column))
-    return out
+        i = contexts.find(key[at - 1])
+        at, i = at[i >= 0], i[i >= 0]
+        pair = fold(key[at - 1], seq[at])
+        j = pairs.find(pair)
+        out += np.bincount(row[at], contexts.values[0][i], rows) + np.bincount(row[at[j >= 0]], pairs.values[0][j[j >= 0]], rows)
+        rest = np.flatnonzero(j < 0)
+        rest = rest[late.may(pair[rest])]
+        asking.append(row[at[rest]])
+        asked.append(pair[rest])
+    return out, np.concatenate(asking), np.concatenate(asked)
 
 
 def following(rows: DataFrame, tree: DataFrame) -> DataFrame:
-    """(k, f_lp): the same sums, where the tree is joined by key; ``rows`` has (k, text)."""
+    """(k1, k2, copies, more): the same sums where the tree is joined by key; ``rows`` has (k1, k2, text), and copies of a text are summed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in K.batches(whole, "text", 4 << 20):
-                seq, row, place = _sequences(batch.column(1))
-                for d, key in enumerate(folds(seq, ORDER), 1):
-                    at = np.flatnonzero(place >= d)
-                    k = batch.column(0).take(pa.array(row[at]))
-                    for asked in (any_key(key[at - 1]), fold(key[at - 1], seq[at])):
-                        yield pa.record_batch([k, pa.array(asked.view(np.int64))], names=["k", "key"])
-
-    asked = rows.select("k", "text").mapInArrow(run, "k bigint, key bigint")
-    return asked.join(tree, "key").groupBy("k").agg(F.sum("delta").alias("f_lp"))
+        for batch in slices(batches):
+            seq, row, place = sequences(batch.column(2))
+            for d, key in enumerate(folds(seq, ORDER), 1):
+                at = np.flatnonzero(place >= d)
+                whose = pa.array(row[at])
+                for asked, symbol in ((key[at - 1], 0), (fold(key[at - 1], seq[at]), 1)):
+                    yield pa.record_batch([batch.column(0).take(whose), batch.column(1).take(whose), pa.array(asked.view(np.int64)), pa.array(np.full(len(at), symbol, np.int32))], names=["k1", "k2", "key", "symbol"])
+
+    asked = rows.mapInArrow(run, "k1 bigint, k2 bigint, key bigint, symbol int").groupBy("k1", "k2", "key", "symbol").agg(F.count(F.lit(1)).alias("m"))
+    return asked.join(tree, ["key", "symbol"]).groupBy("k1", "k2").agg(F.sum(F.col("m") * F.col("delta")).alias("more"))
+
+
+def divided(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table`` with the largest c, ``most`` at most, and the rest: divided at a count that a histogram of the counts' logarithms tells."""
+    steps = 16  # to a doubling
+    step = F.floor(F.log2("c") * steps)
+    total, least = 0, None
+    for r in sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):  # at most 64 * steps rows
+        total += r["rows"]
+        if total > most:
+            break
+        least = r.step
+    top = F.lit(False) if least is None else step >= least
+    return table.where(top), table.where(~top)
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("train", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(True)))
+    out_of_fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (~out_of_fold).alias("train"))
     vocabulary = settle(word_counts(rows), "words")
-    ends = rows.where("train").count()
-    facts = vocabulary.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
-    n, v = (facts[0] or 0) + ends, facts[1] + (ends > 0)
+    facts = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n, v = facts[0], facts[1]
     release(spark)
-    tree = train(vocabulary, ends)
-    with_tree, end_tree = spellings(vocabulary.select("h", "word", "n", "c"), tree, held)
-    release(spark)
-
-    def mixed(c: np.ndarray, tree_lp: np.ndarray) -> np.ndarray:
-        """log10 probability of words with training counts ``c``, the tree's share put in."""
-        return np.log10((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(v, 1) * 10.0**tree_lp) / max(n, DISCOUNT)) if n else tree_lp
-
-    def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(3), batch.column(1), pa.array(mixed(batch.column(1).to_numpy(), batch.column(2).to_numpy()))], names=["h", "n", "c", "lp"])
-
-    base = F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))
-    scored = with_tree.select("h", "c", "tree_lp", "n").mapInArrow(score_words, "h bigint, n bigint, c bigint, lp double").withColumn("base", base)
-    scored = settle(scored, "scored")
-    discard(tree, vocabulary)
-    release(spark)
-    # At most ``frequent`` rows; which ones changes where the adding is done, not the sum.
-    top = scored.orderBy(F.desc("n"), "h").limit(frequent).toArrow()
-    order = np.argsort(top.column("h").to_numpy())
-    table = spark.sparkContext.broadcast({k: top.column(k).to_numpy()[order] for k in ("h", "c", "lp", "base")})
-    end_base = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
-    end_lp = float(mixed(np.array(ends), np.array(end_tree)))
-
-    last = spark.createDataFrame([(np.uint64(END_WORD).astype(np.int64).item(), ends, end_lp)], "h bigint, c bigint, lp double")
-    above = word_tree(rows, scored.select("h", "c", "lp").unionByName(last), ends, held)
-    whole_tree = above.limit(held + 1).count() <= held
-    contexts = spark.sparkContext.broadcast(gathered(above) if whole_tree else None)
+    part = n + 0.1 * (v + 1)
+    words, rare_words = divided(vocabulary, frequent)
+    words = gathered(words)
+    states, pairs = train(rows, vocabulary, words, part, held)
+    few = states.limit(held + 1).count() <= held
+    often, seldom = divided(pairs, frequent if few else 0)
+    late = BitMap(seldom, seldom.count() if few else 0, BITS if few else 6)
+    send = spark.sparkContext.broadcast((words, gathered(states if few else states.limit(0)), gathered(often.select("key", "delta")), late))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table.value
-        for whole in batches:
-            for batch in K.batches(whole, "text", 4 << 20):
-                data, off = K.buffer_of(batch.column(1))
-                data = K.LOWER[data]
-                starts, ends_, first = K.words(data, off)
-                h = K.span_hashes(data, starts, ends_).view(np.int64)
-                size = len(batch)
-                row = np.repeat(np.arange(size), np.diff(first))
-                i = np.minimum(np.searchsorted(t["h"], h), max(len(t["h"]) - 1, 0))
-                known = t["h"][i] == h if len(t["h"]) else np.zeros(len(h), bool)
-                at = lambda name: np.bincount(row[known], t[name][i[known]], size)  # noqa: E731, B023
-                key = batch.column(2)
-                own = [key, batch.column(0), pa.nulls(size, pa.int64()), pa.array(np.ones(size, np.int64)), pa.array(np.diff(first) + 1)]
-                ones = np.bincount(row[known], (t["c"][i[known]] > 0).astype(float), size).astype(np.int64) + int(ends > 0)
-                own += [pa.array(ones), pa.array(at("base") + end_base), pa.array(at("lp") + end_lp + (followed(batch.column(1), contexts.value) if contexts.value is not None else 0.0))]
-                names = ["k", "doc_id", "h", "m", "n_tokens", "n_known", "base", "lp"]
-                yield pa.record_batch(own, names=names)
-                rest = np.flatnonzero(~known)
-                if len(rest):
-                    order = rest[np.lexsort((h[rest], row[rest]))]
-                    head = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])])
-                    pick = pa.array(row[order[head]])
-                    count = len(head)
-                    yield pa.record_batch([key.take(pick), batch.column(0).take(pick), pa.array(h[order[head]]), pa.array(np.diff(np.append(head, len(order)))), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.float64()), pa.nulls(count, pa.float64())], names=names)
-
+        words, contexts, pairs, late = send.value
+        base = np.append(np.log10((words.values[0] + 0.1) / part), np.log10(0.1 / part))  # the last: not met
+        for batch in slices(batches):
+            size = len(batch)
+            seq, row, place = sequences(batch.column(1))
+            token, owner = seq[place > 0], row[place > 0]
+            at = words.find(token)
+            more, asking, asked = followed(seq, row, place, size, contexts, pairs, late)
+            asking, asked = np.concatenate([owner[at < 0], asking]), np.concatenate([token[at < 0], asked])
+            pick, m = counted(K.splitmix(asked ^ K.splitmix(asking.astype(np.uint64))))
+            order = np.argsort(asking[pick], kind="stable")
+            pick, m = pick[order], m[order]
+            bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(asking[pick], minlength=size))]).astype(np.int32))
+            open_ = pa.StructArray.from_arrays([pa.array(asked[pick].view(np.int64)), pa.array(m.astype(np.int32))], names=["key", "m"])
+            tokens, known = (np.bincount(x, minlength=size) for x in (owner, owner[at >= 0]))
+            sums = np.bincount(owner, base[at], size)
+            yield pa.record_batch([batch.column(0), batch.column(2), *map(pa.array, (tokens, known, sums, more)), pa.ListArray.from_arrays(bounds, open_), *batch.columns[3:]], names=names)
+
+    names = ["doc_id", "train", "n_tokens", "known", "base", "more", "open", "k1", "k2"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(run, f"k bigint, doc_id {kind}, h bigint, m bigint, n_tokens bigint, n_known bigint, base double, lp double")
-    # Rare words of a text meet their scores by hash, then come together by text. Counts travel, not logarithms: they pack better.
-    rare = parts.where("h is not null").select("k", "h", F.col("m").cast("int").alias("m")).join(scored.select("h", "c", "lp"), "h").select("k", "m", "c", "lp")
-    rare = rare.repartition("k").groupBy("k").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k_known"), F.sum(F.col("m") * base).alias("k_base"), F.sum(F.col("m") * F.col("lp")).alias("k_lp"))
-    whole = parts.where("h is null").groupBy("k").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("m", "n_tokens", "n_known", "base", "lp")))
-    whole = whole.join(rare, "k", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k_known", F.lit(0)), "base": F.col("base") + F.coalesce("k_base", F.lit(0.0)), "lp": F.col("lp") + F.coalesce("k_lp", F.lit(0.0))})
-    if not whole_tree:
-        whole = whole.join(following(rows.withColumn("k", F.xxhash64("doc_id", "text")), above), "k", "left").withColumn("lp", F.col("lp") + F.coalesce("f_lp", F.lit(0.0)))
-    # Rows alike in doc_id and text share a key: their sums are shared out again, one row each.
-    whole = whole.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
-    each = lambda c: F.expr(f"{c} div m")
-    return whole.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)).alias("held_out"), each("n_tokens").alias("n_tokens"), each("n_known").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("lp") / F.col("m")).alias("score"))
+    # Copies of a text are told apart from other texts by 128 bits, where the tree is joined whole.
+    k1, k2 = (F.lit(0).cast("bigint"),) * 2 if few else (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    asked = rows.select("doc_id", "text", "train", k1.alias("k1"), k2.alias("k2"))
+    parts = asked.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, more double, open array<struct<key:bigint,m:int>>, k1 bigint, k2 bigint")
+    parts = settle(parts.withColumn("r", F.monotonically_increasing_id()), "parts")
+    release(spark)
+    # Rare words and rare pairs, one join: what each adds, and whether it is a word.
+    adds = rare_words.select(F.col("h").alias("key"), F.log10((F.col("c") + 0.1) / 0.1).alias("delta"), F.lit(1).alias("word"))
+    if few:
+        adds = adds.unionByName(seldom.select("key", "delta", F.lit(0).alias("word")))
+    open_ = parts.select("r", F.explode("open").alias("x")).select("r", F.col("x.key").alias("key"), F.col("x.m").alias("m")).join(adds, "key")
+    add = F.col("m") * F.col("delta")
+    met = open_.groupBy("r").agg(F.sum(F.col("m") * F.col("word")).alias("met"), F.sum(add * F.col("word")).alias("word_adds"), F.sum(add * (1 - F.col("word"))).alias("pair_adds"))
+    out = parts.drop("open").join(met, "r", "left")
+    added = lambda c: F.coalesce(c, F.lit(0))
+    out = out.select("doc_id", "train", "k1", "k2", "n_tokens", (F.col("known") + added("met")).alias("n_known"), (F.col("base") + added("word_adds")).alias("base_score"), (F.col("more") + added("pair_adds")).alias("more"))
+    if not few:
+        tree = states.withColumn("symbol", F.lit(0)).unionByName(pairs.select("key", "delta", F.lit(1).alias("symbol")))
+        copies = parts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+        more = following(asked.select("k1", "k2", "text"), tree).join(copies, ["k1", "k2"]).select("k1", "k2", (F.col("more") / F.col("copies")).alias("late"))
+        out = out.join(more, ["k1", "k2"], "left").withColumn("more", F.coalesce("late", F.lit(0.0)))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))

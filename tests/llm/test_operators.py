@@ -202,33 +202,6 @@ def test_suffix_tree_scores(spark):
     assert suffixtree.score(docs(spark, [])).count() == 0
 
 
-def test_suffix_tree_is_a_distribution():
-    rows = [(0, 0, s, c) for s, c in ((97, 60), (98, 30), (32, 90))] + [(1, 97, 98, 30), (1, 97, 32, 30), (1, 98, 32, 30), (1, 32, 97, 60), (1, 32, 98, 0)]
-    tree = suffixtree.SuffixTree([tuple(np.array([r[i] for r in rows if r[0] == d and r[3]]) for i in (1, 2, 3)) for d in (0, 1)], 10)
-    symbols = np.arange(256, dtype=np.uint64)
-    for context in (0, 97, 98, 32, 99):
-        p = np.exp(tree._log(1, np.full(256, context, np.uint64), symbols)).sum()
-        assert 0.98 < p <= 1.0 + 1e-9  # the 257th symbol has the rest
-
-
-def test_suffix_tree_is_whole_however_large_the_corpus(spark):
-    """Contexts of a rare script stay, next to a word that makes up nearly all of the corpus; joined or broadcast, scores are those of a tree held whole."""
-    many = [("the", 40_000_000), *((f"{a}{b}", 40) for a in ("шум", "шаг", "쌀밥") for b in ("ок", "ать", "и")), ("x", 1)]
-    words_ = spark.createDataFrame([(i, w.encode(), c) for i, (w, c) in enumerate(many)], "h bigint, word binary, c bigint")
-    tree = suffixtree.train(words_, 50)
-    rows = suffixtree.context_counts(words_).toPandas()
-    t = rows.groupby(["d", "context"])["c"].transform("sum")
-    rows = rows[(t >= suffixtree.LEAST) | (rows["d"] == 0)]
-    part = lambda d: tuple(rows[rows["d"] == d][k].to_numpy() for k in ("context", "symbol", "c"))
-    whole = suffixtree.SuffixTree([part(d) for d in range(suffixtree.DEPTH + 1)], 50)
-    want = whole.word_scores(pa.array([w.encode() for w, _ in many]))
-    assert tree.where("d > 0 and (context & 255) >= 128").count() > 0  # seen some hundred times in 160 million symbols: far less than a share of 2e-5
-    for held in (1 << 20, 0):
-        got, end = suffixtree.spellings(words_, tree, held)
-        got = {r.h: r.tree_lp for r in got.collect()}
-        assert np.allclose([got[i] for i in range(len(many))], want) and math.isclose(end, whole.end_score())
-
-
 # ---- 5 ----------------------------------------------------------------------------------
 
 
