@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more; called between phases."""
+    """Let Spark's cleaner, which works beside the queries, drop the shuffle files of plans that nothing refers to any more; called between phases."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)

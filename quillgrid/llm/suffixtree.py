@@ -4,9 +4,10 @@ Symbols are the tokens of a text, its words and one end. A context is a run of u
 ORDER tokens before a symbol, from the start of the text on. The root's distribution is
 P(w) = (c + 0.1) / (N + 0.1 (V + 1)) of the training tokens, all unknown words as one.
 A context s is a candidate if it is seen LEAST times, a fixed count, so the tree grows
-with the corpus. Its own symbols S are those seen c(s, w) >= 2 times whose share of it
+with the corpus. Its own symbols S are those seen c(s, w) >= 2 times, with a share of at
+least SHARE in its t occurrences (the least probability such trees tell from none), that
 diverges from what its longest retained suffix says: c ln((c - 1) / (t P(w | suffix))) of
-at least OWN nats, t its occurrences. With F = t - sum over S of (c - 1),
+at least OWN nats. With F = t - sum over S of (c - 1),
 P(w | s) = ((c - 1 if w in S else 0) + F * P(w | suffix)) / t, which sums to one. The context
 is retained if that diverges from the suffix's distribution: log likelihood of its
 occurrences over the suffix's, each left out of its own estimate, of at least GAIN nats.
@@ -21,7 +22,7 @@ what it adds besides for a symbol of its own. Along the suffixes of a place thes
 to the score in the longest retained one, so places need no order.
 
 A text adds up its tokens' scores. Nothing is gathered before it was counted. Of words and
-of pairs of a context and a symbol the most frequent ones (at most FREQUENT each, down to a
+of pairs of a context and a symbol the most frequent ones (at most WORDS and PAIRS, down to a
 count that a histogram tells) are broadcast and added in place; the rest is asked for by
 key and joined. A bit map of at most 2**BITS bits leaves out most of the pairs that are
 not in the tree. Contexts are broadcast if they are at most HELD; beyond it, they and all
@@ -46,11 +47,11 @@ from pyspark.sql import functions as F
 from quillgrid.llm import kernel as K
 from quillgrid.llm.scratch import discard, release, settle, small
 
-ORDER, LEAST, GAIN, OWN = 3, 32, 8.0, 2.0
+ORDER, LEAST, GAIN, OWN, SHARE = 3, 32, 8.0, 2.0, 0.001
 #: Contexts (24 bytes each) that are broadcast at most; more are joined.
 HELD = 1 << 20
 #: Words, and pairs of a context and a symbol, that are broadcast at most.
-FREQUENT = 1 << 19
+WORDS, PAIRS = 1 << 19, 1 << 18
 #: Bits of the map of pairs that are joined, as a power of two, at most.
 BITS = 27
 #: Hashes that stand for the start and the end of a text.
@@ -126,8 +127,8 @@ def followers(rows: DataFrame, contexts: DataFrame, d: int, words: K.Table, part
     """Symbols seen twice or more after each of ``contexts`` (context, t, chain, u1, ...) of d words, over whole training texts.
 
     (context, w, c, t, chain, root, longer, u1, ...): root is log10 of the root's P(w), null for a word that is not in ``words``,
-    longer the key of context and symbol, u1, u2, ... those of its suffixes, the longest first. Of contexts of one word, symbols
-    that are neither their own nor seen LEAST times are left out here.
+    longer the key of context and symbol, u1, u2, ... those of its suffixes, the longest first. Symbols that can neither be the
+    context's own nor end a longer context are left out.
     """
     few = contexts.limit(held + 1).count() <= held
     table = gathered(contexts) if few else None
@@ -136,7 +137,8 @@ def followers(rows: DataFrame, contexts: DataFrame, d: int, words: K.Table, part
     names = ["context", "w", "c", "t", "chain", "root", "longer", *(f"u{k}" for k in range(1, d + 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, _ = send.value
+        table, words = send.value
+        fewest = words.values[0].min(initial=np.iinfo(np.int64).max)  # other words are at most as frequent
         for batch in slices(batches):
             seq, _, place = sequences(batch.column(0))
             *_, key = folds(seq, d)
@@ -147,6 +149,11 @@ def followers(rows: DataFrame, contexts: DataFrame, d: int, words: K.Table, part
                 told = table.find(context)
                 here = told >= 0
                 context, w, told = context[here], w[here], told[here]
+                # A pair is seen as often as its symbol at most: too rarely to be the context's own, or to be a context?
+                word = words.find(w)
+                most = np.append(words.values[0], fewest)[word]
+                here = (most >= LEAST) | (most >= SHARE * table.values[0][told])
+                context, w, told = context[here], w[here], told[here]
             first, c = counted(fold(context, w))
             yield pa.record_batch([pa.array(told[first]), pa.array(w[first].view(np.int64)), pa.array(c)], names=["at", "w", "c"])
 
@@ -159,9 +166,9 @@ def followers(rows: DataFrame, contexts: DataFrame, d: int, words: K.Table, part
             t, chain, *suffixes = more
             word = words.find(w)
             root = np.where(word >= 0, np.log10((np.append(words.values[0], 0)[word] + 0.1) / part), np.nan)
-            keep = np.ones(len(w), bool)
-            if d == 1:
-                keep = (c >= LEAST) | (word < 0) | (c * (np.log((c - 1) / t) - np.log(10) * root) >= OWN)
+            # P(w | suffix) is no less than what the suffixes leave to any symbol; most chance pairs end here.
+            likely = (c >= SHARE * t) & (c * (np.log((c - 1) / t) - np.log(10) * (root + chain)) >= OWN)
+            keep = likely | (word < 0) | (c >= (LEAST if d < ORDER else np.inf))
             u = [x.view(np.uint64) for x in (at, *suffixes)]
             w64 = w.view(np.uint64)
             keys = [fold(x, w64).view(np.int64) for x in u] + [K.splitmix(w64).view(np.int64)]
@@ -196,8 +203,9 @@ def train(rows: DataFrame, vocabulary: DataFrame, words: K.Table, part: float, h
     for d in range(1, ORDER + 1):
         found = settle(followers(rows, contexts, d, words, part, held), "followers")
         release(spark)
+        had = ["context", "c", "t", "longer", *(f"u{k}" for k in range(1, d))]
         rare = found.where("root is null").join(root, "w").withColumn("root", F.col("seldom")).select(*found.columns)
-        own = found.where("root is not null").unionByName(rare).withColumn("below", F.col("root") + F.col("chain"))
+        own = found.where("root is not null").unionByName(rare).where(F.col("c") >= SHARE * F.col("t")).select(*had, (F.col("root") + F.col("chain")).alias("below"))
         for k in range(1, d):  # what shorter contexts add for the symbol
             lower = reduce(DataFrame.unionByName, pairs).select(F.col("key").alias(f"u{k}"), F.col("delta").alias("_add"))
             own = own.join(lower, f"u{k}", "left").withColumn("below", F.col("below") + F.coalesce("_add", F.lit(0.0))).drop("_add")
@@ -205,6 +213,7 @@ def train(rows: DataFrame, vocabulary: DataFrame, words: K.Table, part: float, h
         own = own.where(F.col("c") * F.log((F.col("c") - 1) / (F.col("t") * b)) >= OWN)
         own = settle(own.select("context", "c", "t", "longer", "below"), "own")
         facts = own.groupBy("context").agg((F.max("t") - F.sum(F.col("c") - 1)).alias("f"), (F.max("t") - F.sum("c")).alias("others"), F.max("t").alias("seen"))
+        release(spark)
         facts = settle(facts, "facts")
         gain = own.join(small(facts), "context").groupBy("context").agg(F.sum(F.col("c") * F.log((F.col("c") - 2 + F.col("f") * b) / ((F.col("t") - 1) * b))).alias("gain"))
         others = F.when(F.col("others") > 0, F.col("others") * F.log((F.col("f") - 1) / (F.col("seen") - 1))).otherwise(0.0)
@@ -225,6 +234,7 @@ def train(rows: DataFrame, vocabulary: DataFrame, words: K.Table, part: float, h
             break
     out = settle(reduce(DataFrame.unionByName, states), "states"), reduce(DataFrame.unionByName, pairs)
     discard(*done)
+    release(spark)
     return out
 
 
@@ -291,7 +301,7 @@ def divided(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return table.where(top), table.where(~top)
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFrame:
+def score(docs: DataFrame, words: int = WORDS, pairs: int = PAIRS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
     out_of_fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
@@ -301,13 +311,13 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFr
     n, v = facts[0], facts[1]
     release(spark)
     part = n + 0.1 * (v + 1)
-    words, rare_words = divided(vocabulary, frequent)
-    words = gathered(words)
-    states, pairs = train(rows, vocabulary, words, part, held)
+    often, rare_words = divided(vocabulary, words)
+    often = gathered(often)
+    states, tree = train(rows, vocabulary, often, part, held)
     few = states.limit(held + 1).count() <= held
-    often, seldom = divided(pairs, frequent if few else 0)
+    told, seldom = divided(tree, pairs if few else 0)
     late = BitMap(seldom, seldom.count() if few else 0, BITS if few else 6)
-    send = spark.sparkContext.broadcast((words, gathered(states if few else states.limit(0)), gathered(often.select("key", "delta")), late))
+    send = spark.sparkContext.broadcast((often, gathered(states if few else states.limit(0)), gathered(told.select("key", "delta")), late))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, contexts, pairs, late = send.value
@@ -347,7 +357,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFr
     added = lambda c: F.coalesce(c, F.lit(0))
     out = out.select("doc_id", "train", "k1", "k2", "n_tokens", (F.col("known") + added("met")).alias("n_known"), (F.col("base") + added("word_adds")).alias("base_score"), (F.col("more") + added("pair_adds")).alias("more"))
     if not few:
-        tree = states.withColumn("symbol", F.lit(0)).unionByName(pairs.select("key", "delta", F.lit(1).alias("symbol")))
+        tree = states.withColumn("symbol", F.lit(0)).unionByName(tree.select("key", "delta", F.lit(1).alias("symbol")))
         copies = parts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
         more = following(asked.select("k1", "k2", "text"), tree).join(copies, ["k1", "k2"]).select("k1", "k2", (F.col("more") / F.col("copies")).alias("late"))
         out = out.join(more, ["k1", "k2"], "left").withColumn("more", F.coalesce("late", F.lit(0.0)))

@@ -186,7 +186,7 @@ def test_suffix_tree_scores(spark):
     import zlib
 
     rows = [r for r in TEXTS if r[0] is not None] + [(200 + i, f"{BASE} extra{i}") for i in range(40)]
-    got = suffixtree.score(docs(spark, rows), frequent=20).collect()
+    got = suffixtree.score(docs(spark, rows), words=20).collect()
     assert len(got) == len(rows)
     count = Counter()
     for i, t in rows:

@@ -60,7 +60,7 @@ class Tree:
     def retained(self, d):
         for s, t in list(self.total[d].items()):
             seen = {w: c for (x, w), c in self.count[d].items() if x == s}
-            own = {w: c for w, c in seen.items() if t >= S.LEAST and c > 1 and c * math.log((c - 1) / (t * self.p(s[1:], w))) >= S.OWN}
+            own = {w: c for w, c in seen.items() if t >= S.LEAST and c > 1 and c >= S.SHARE * t and c * math.log((c - 1) / (t * self.p(s[1:], w))) >= S.OWN}
             if own:
                 f, others = t - sum(c - 1 for c in own.values()), t - sum(own.values())
                 gain = sum(c * math.log((c - 2 + f * self.p(s[1:], w)) / ((t - 1) * self.p(s[1:], w))) for w, c in own.items())
@@ -81,7 +81,7 @@ def test_scores_are_those_of_brute_force(spark, tree):
     rows = rows_of()
     docs = spark.createDataFrame([(i, t, 1.0, 2, "x") for i, t in rows], "doc_id bigint, text string, base double, c int, h string").repartition(3)
     assert {len(s) for s in tree.kept} >= {1, 2}
-    for kwargs in ({"frequent": 10}, {"frequent": 10, "held": 0}, {}):
+    for kwargs in ({"words": 10, "pairs": 10}, {"words": 10, "held": 0}, {}):
         got = {}
         for r in S.score(docs, **kwargs).collect():
             got.setdefault(r.doc_id, []).append(r)
