@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT = "_quillgrid_sent"
+#: Bytes and rows of an Arrow batch on its way to Python: long texts would fill workers with Spark's 64 MB. Set where the session has Spark's defaults.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000")}
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, once for each Spark application."""
+    """Make this package importable in Python workers, once for each Spark application, and keep Arrow batches small."""
+    for name, (default, ours) in ARROW.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
     context = spark.sparkContext
     if getattr(context, _SENT, None) != context.applicationId:
         top = Path(__file__).resolve().parent
