@@ -11,10 +11,13 @@
    with the others; pairs are merged with a count of collisions, those whose
    signatures agree in fewer than ``matches`` coordinates go, and the rest is
    confirmed on the full sets. A list costs its length, not its square.
-4. The rest, without loss: members of lists that still hold more than one component.
-   They meet by an exact prefix-filtered join on full sets (rarest shingles first,
-   length and positional filters), which only looks across components. Lists of at most
-   SHORT members may pass all their pairs of fitting length to the confirmation instead.
+4. The rest, without loss: lists that still hold more than one component. Those of at
+   most SHORT members are joined with themselves across components, with the length
+   filter and the collision count (on four bits a coordinate, which only ever counts
+   too many) inside the join: FLOOR matches, fewer than ``matches``, are enough for the
+   full sets to decide. Longer ones are skipped by that merge; their members meet
+   by an exact prefix-filtered join on full sets instead (rarest shingles first, length
+   and positional filters). Both only look across components.
 
 With 64 coordinates and 34 matches, an isolated pair at exactly the threshold of 0.8 fails
 to become a candidate with probability below 1e-6, and far less the more alike it is.
@@ -41,7 +44,9 @@ from quillgrid.llm.scratch import discard, release, settle, small
 
 COORDINATES, MATCHES = 64, 34
 #: Lists up to this length are joined with themselves; longer ones go the other exact way.
-SHORT = 0
+SHORT = 64
+#: Pairs of short lists go to the full sets from so many matches on: a pair at exactly 0.8 has fewer with probability below 1e-9.
+FLOOR = 28
 
 
 def shingle_sets(batch: pa.RecordBatch, words_each: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,23 +80,43 @@ class Signer:
         return np.min(least, axis=0)
 
 
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a 64-bit number."""
+    four = (signature & np.uint32(15)).astype(np.uint64)
+    four = np.concatenate([four, np.zeros(-len(four) % 16, np.uint64)]).reshape(-1, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def unlike(x: str, y: str, coordinates: int) -> Column:
+    """In how many coordinates the nibbles of two signatures differ."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for i in range(-(-coordinates // 16)):
+        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        total = total + F.bit_count(d.bitwiseAND(ones))
+    return total
+
+
 def sketches(docs: DataFrame, words_each: int, coordinates: int, least: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig): set size, 128-bit key of the set, signature (null for sets under ``least``)."""
+    """(doc_id, n_shingles, k1, k2, sig, nib): set size, 128-bit key of the set, signature and its nibbles (null for sets under ``least``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(coordinates)
         for whole in batches:
             for batch in K.batches(whole, "text"):
-                n, keys, sig = [], [], []
+                n, keys, sig, nib = [], [], [], []
                 for _, s in shingle_sets(batch, words_each):
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     m = sign(s) if len(s) >= least else None
                     sig.append(None if m is None else m.view(np.int32))
+                    nib.append(None if m is None else nibbles(m))
                 k = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sig, pa.list_(pa.int32())), pa.array(nib, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "sig", "nib"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<int>, nib array<bigint>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
@@ -152,11 +177,11 @@ def _stars(posts: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
     return settle(pairs.where(agree >= matches).select("a", "b"), "pairs")
 
 
-def _short_lists(placed: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) across components in lists of at most SHORT members, whatever their signatures."""
-    posts = placed.join(signed.select("id", "n"), "id")
+def _short_lists(placed: DataFrame, signed: DataFrame, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """(a, b) across components in lists of at most SHORT members, by the collision count on nibbles."""
+    posts = placed.join(signed.select("id", "n", "nib"), "id")
     x, y = posts.alias("x"), posts.alias("y")
-    meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (unlike("x.nib", "y.nib", coordinates) <= coordinates - matches))
     return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
@@ -172,11 +197,11 @@ def _long_lists(rest: DataFrame, docs: DataFrame, words_each: int, percent: int)
     return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def _rest(posts: DataFrame, first: DataFrame, signed: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+def _rest(posts: DataFrame, first: DataFrame, signed: DataFrame, docs: DataFrame, words_each: int, percent: int, coordinates: int, matches: int) -> DataFrame:
     """(a, b): what the stars left, over lists that still hold more than one component."""
     placed = settle(posts.select("id", "key").join(first, posts["id"] == first["node"], "left").select("id", "key", F.coalesce("component", "id").alias("component")), "placed")
     mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size"), "mixed")
-    short = _short_lists(placed.join(mixed.where(F.col("size") <= SHORT), "key", "left_semi"), signed, percent)
+    short = _short_lists(placed.join(mixed.where(F.col("size") <= SHORT), "key", "left_semi"), signed, percent, coordinates, min(matches, FLOOR * coordinates // COORDINATES))
     rest = placed.join(mixed.where(F.col("size") > SHORT), "key", "left_semi").select("id", "component").distinct()
     rest = settle(rest.join(signed.select("id", "k1"), "id").withColumnRenamed("id", "doc_id"), "rest")
     late = settle(short.unionByName(_long_lists(rest, docs, words_each, percent)).distinct(), "late")
@@ -197,7 +222,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, coo
     member = settle(real.join(classes, ["k1", "k2"]).select("doc_id", "class_id", "k1", "k2"), "member")
     reps = member.where("doc_id = class_id").select("doc_id", "k1", "k2").distinct()
     signed = sketch.where("sig is not null").join(reps, ["doc_id", "k1", "k2"], "left_semi")
-    signed = settle(signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "k1", "sig").dropDuplicates(["id"]), "signed")
+    signed = settle(signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "k1", "sig", "nib").dropDuplicates(["id"]), "signed")
     release(spark)
 
     posts = _postings(signed, coordinates, matches)
@@ -209,7 +234,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, coo
     same = member.join(same, "doc_id").select("u", F.col("class_id").alias("v"))
     first = settle(components(links.unionByName(same)), "first")
     release(spark)
-    late = confirmed(_rest(posts, first, signed, docs, words_each, percent), signed, docs, words_each, percent)
+    late = confirmed(_rest(posts, first, signed, docs, words_each, percent, coordinates, matches), signed, docs, words_each, percent)
     release(spark)
     linked = first
     if not late.isEmpty():
