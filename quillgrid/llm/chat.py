@@ -13,7 +13,8 @@ Problems, listed by name: bad_call (no id or name), duplicate_call (an id used b
 the conversation; the first by turn and place is linked), duplicate_result, no_result,
 no_call, no_tool (no schema of that name), bad_arguments, cycle (also: refers to nothing).
 
-Defined results: texts that are no such JSON are plain messages; null texts and roles are
+Defined results: texts that are no such JSON (NaN and Infinity are none), or are nested too
+deeply to be read, are plain messages; fields besides those named here stay in the JSON; null texts and roles are
 JSON null; a null conv_id links with nothing; repeated rows give repeated messages, and
 calls or results of a repeated row are duplicates; extra columns are ignored; an empty
 table gives an empty result.
@@ -22,6 +23,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,28 +38,43 @@ _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def fits(value: object, schema: dict) -> bool:
-    """Whether a value meets a JSON schema: type, enum, required, properties, additionalProperties and items."""
-    kind = schema.get("type")
-    if kind == "integer":
-        ok = isinstance(value, int) and not isinstance(value, bool)
-    elif kind == "number":
-        ok = isinstance(value, (int, float)) and not isinstance(value, bool)
-    else:
-        ok = kind is None or isinstance(value, _TYPES.get(kind, object))
+    """Sorted keys, no blanks; a lone surrogate, which UTF-8 does not have, stays an escape."""
+    return sound(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def sound(text: str) -> str:
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == int(value))
+    return isinstance(value, _TYPES.get(kind, object))
+
+
+def fits(value: object, schema: object) -> bool:
+    """Whether a value meets a JSON schema: type, enum, const, bounds, pattern, lengths, required, properties, additionalProperties, items, anyOf, allOf, oneOf."""
+    if not isinstance(schema, dict):
+        return schema is not False
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return True
-    if not ok or ("enum" in schema and value not in schema["enum"]):
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
         return False
+    if any(k in schema and canonical(value) not in map(canonical, schema[k] if k == "enum" else [schema[k]]) for k in ("enum", "const")):
+        return False
+    of = {k: [fits(value, x) for x in schema[k]] for k in ("anyOf", "allOf", "oneOf") if k in schema}
+    if not any(of.get("anyOf", [True])) or not all(of.get("allOf", [])) or sum(of.get("oneOf", [True])) != 1:
+        return False
+    if _is(value, "number"):
+        return schema.get("minimum", value) <= value <= schema.get("maximum", value)
+    if isinstance(value, str):
+        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) and re.search(schema.get("pattern", ""), value) is not None
     if isinstance(value, dict):
-        own = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", [])) or (schema.get("additionalProperties") is False and set(value) - set(own)):
-            return False
-        return all(fits(v, own[k]) for k, v in value.items() if k in own)
-    return all(fits(v, schema.get("items", {})) for v in value) if isinstance(value, list) else True
+        own, others = schema.get("properties", {}), schema.get("additionalProperties", True)
+        return all(k in value for k in schema.get("required", [])) and all(fits(v, own.get(k, others)) for k, v in value.items())
+    return all(fits(v, schema.get("items", True)) for v in value) if isinstance(value, list) else True
 
 
 def references(value: object) -> Iterator[str]:
@@ -72,12 +89,16 @@ def references(value: object) -> Iterator[str]:
             yield from references(v)
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def _object(text: str | None) -> dict | None:
     if not text or text.lstrip()[:1] != "{":
         return None
     try:
-        got = json.loads(text)
-    except ValueError:
+        got = json.loads(text, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
 
@@ -85,23 +106,35 @@ def _object(text: str | None) -> dict | None:
 def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
     """(ord, kind, call id, canonical JSON, ids referred to, problems) of a turn."""
     got = _object(text)
-    if role == "tool" and got is not None and isinstance(got.get("tool_call_id"), str):
-        return [(0, "result", got["tool_call_id"], canonical({"content": got.get("content"), "role": "tool", "tool_call_id": got["tool_call_id"]}), [], [])]
-    if role != "assistant" or got is None or not isinstance(got.get("tool_calls"), list):
-        return [(0, "message", None, canonical({"content": text, "role": role}), [], [])]
-    out = [(0, "message", None, canonical({"content": got.get("content"), "role": role}), [], [])]
-    for i, call in enumerate(got["tool_calls"], 1):
-        call = call if isinstance(call, dict) else {}
-        name, id_, arguments = call.get("name"), call.get("id"), call.get("arguments", {})
-        problems = []
-        if not isinstance(name, str) or not isinstance(id_, str):
-            problems.append("bad_call")
-        elif name not in schemas:
-            problems.append("no_tool")
-        elif not fits(arguments, schemas[name]):
-            problems.append("bad_arguments")
-        out.append((i, "call", id_ if isinstance(id_, str) else None, canonical({"arguments": arguments, "id": id_, "name": name, "type": "call"}), sorted(set(references(arguments))), problems))
-    return out
+    try:
+        if role == "tool" and got is not None and isinstance(got.get("tool_call_id"), str):
+            return [(0, "result", sound(got["tool_call_id"]), canonical({"content": None} | got | {"role": "tool"}), [], [])]
+        if role == "assistant" and got is not None and isinstance(got.get("tool_calls"), list):
+            said = {"content": None} | {k: v for k, v in got.items() if k != "tool_calls"} | {"role": role}
+            return [(0, "message", None, canonical(said), [], []), *(_call(i, c, schemas) for i, c in enumerate(got["tool_calls"], 1))]
+    except RecursionError:  # nested too deeply to be walked: a plain message
+        pass
+    return [(0, "message", None, canonical({"content": text, "role": role}), [], [])]
+
+
+def _call(i: int, call: object, schemas: dict[str, dict]) -> tuple:
+    """A call with all its fields; name and arguments may stand in a "function", arguments may be JSON text."""
+    call = dict(call) if isinstance(call, dict) else {}
+    if isinstance(call.get("function"), dict):
+        call = {k: v for k, v in call.items() if k != "function"} | call["function"]
+    if isinstance(call.get("arguments"), str):
+        call["arguments"] = _object(call["arguments"]) or call["arguments"]
+    call = {"arguments": {}, "id": None, "name": None} | call | {"type": "call"}
+    name, id_, arguments = call["name"], call["id"], call["arguments"]
+    problems = []
+    if not isinstance(name, str) or not isinstance(id_, str):
+        problems.append("bad_call")
+    elif name not in schemas:
+        problems.append("no_tool")
+    elif not fits(arguments, schemas[name]):
+        problems.append("bad_arguments")
+    needs = sorted({sound(r) for r in references(arguments)})
+    return (i, "call", sound(id_) if isinstance(id_, str) else None, canonical(call), needs, problems)
 
 
 def _levels(calls: DataFrame) -> DataFrame:

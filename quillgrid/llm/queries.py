@@ -12,6 +12,13 @@ from quillgrid.session import ship
 
 #: Where public tokenizer models lie on this machine; a parameter of every function that needs one.
 TOKENIZERS = "/opt/tokenizers"
+#: Schemas of the tools that calls are checked against.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"], "additionalProperties": False},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string", "pattern": "^https?://"}}, "required": ["url"]},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+    "run_code": {"type": "object", "properties": {"language": {"enum": ["python", "sql", "shell"]}, "code": {"type": "string"}}, "required": ["code"]},
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +72,7 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgrid.llm.chat import format_chats
 
-    got = format_chats(table(spark, sf_dir, "conversations"))
+    got = format_chats(table(spark, sf_dir, "conversations"), TOOLS)
     return got.select("conv_id", "stage", "depth", "turn", "ord", "kind", "json", F.array_join("problems", ",").alias("problems"))
 
 

@@ -403,3 +403,36 @@ def test_word_kernel():
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+# ---- 7, odd input -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("value", "schema", "want"),
+    [
+        (1.0, {"type": "integer"}, True),
+        (None, {"type": ["string", "null"]}, True),
+        (3, {"type": ["string", "null"]}, False),
+        (True, {"enum": [1]}, False),
+        (1, True, True),
+        ({"a": 1}, {"properties": {"a": False}}, False),
+        ({"a": 1, "b": "x"}, {"properties": {"a": {}}, "additionalProperties": {"type": "integer"}}, False),
+        (7, {"minimum": 1, "maximum": 6}, False),
+        ("ftp://x", {"pattern": "^https?://"}, False),
+        (3, {"anyOf": [{"type": "string"}, {"minimum": 3}]}, True),
+        ([1, "x"], {"items": {"type": "integer"}}, False),
+    ],
+)
+def test_schemas(value, schema, want):
+    assert chat.fits(value, schema) is want
+
+
+def test_chats_that_are_odd(spark):
+    deep = '{"tool_calls":' + "[" * 100_000 + "]" * 100_000 + "}"
+    lone = r'{"tool_calls":[{"id":"\ud800","function":{"name":"f","arguments":"{\"q\":\"\\ud800\"}"},"note":1}]}'
+    rows = [(1, 1, "assistant", deep), (1, 2, "assistant", lone), (1, 3, "tool", r'{"tool_call_id":"\ud800","content":2}'), (1, 4, "assistant", '{"tool_calls":[],"x":NaN}')]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), {"f": {"type": "object", "required": ["q"]}}).collect()
+    assert sorted((r.turn, r.kind) for r in got) == [(1, "message"), (2, "call"), (2, "message"), (2, "result"), (4, "message")]
+    call = next(r for r in got if r.kind == "call")
+    assert call.json == r'{"arguments":{"q":"\ud800"},"id":"\ud800","name":"f","note":1,"type":"call"}' and call.problems == []
