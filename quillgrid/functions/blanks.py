@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quillgrid.functions.choices import is_label
+from quillgrid.functions.labels import is_label
 
 # Units, marks and words that forms use.
 DATE_UNITS = set("년월일시분")

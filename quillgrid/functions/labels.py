@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -60,6 +61,21 @@ def looks_like_label(text: Column) -> Column:
     return F.coalesce((t != "") & ~t.rlike("^[*※]") & (n != "") & (size <= 24) & ~sentence & ~t.rlike(f"^[\\d{SPACING}.,~\\-:/()]+$"), F.lit(False))
 
 
+_AROUND = re.compile(f"^[{SPACING}]+|[{SPACING}]+$")
+_STEPS = ((f"[{SPACING}]+", ""), (f"^[{BULLETS}]+", ""), (f"[{END_MARKS}]+$", ""), (f"^[{OPEN}](.*)[{CLOSE}]$", r"\1"))
+_NO_LABEL = re.compile(f"[*※]|[\\d{SPACING}.,~\\-:/()]+$")
+
+
+def is_label(text: str) -> bool:
+    """looks_like_label of one text, for the readers of forms that work in Python; texts may be decomposed."""
+    name = unicodedata.normalize("NFC", text)
+    shown = _AROUND.sub("", name)
+    for pattern, by in _STEPS:
+        name = re.sub(pattern, by, name)
+    size = len(name.encode("utf-16-le", "surrogatepass")) // 2
+    return 0 < size <= 24 and bool(shown) and not _NO_LABEL.match(shown) and not (size > 12 and shown[-1] in ".?!。")
+
+
 def alias_table(spark: SparkSession, groups: list[list[str]] | None = None) -> DataFrame:
     """(word, alias, group): every pair of words of a group, normalised; a word of several groups has the aliases of all."""
     rows = [(g, w) for g, words in enumerate(ALIAS_GROUPS if groups is None else groups) for w in words]

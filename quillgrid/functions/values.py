@@ -35,7 +35,7 @@ def split_number(value: Column, parts: int, label: Column | None = None) -> Colu
     v = trimmed(value)
     label = F.lit("") if label is None else label
     pieces = F.split(v, "-")
-    by_hyphen = [F.get(pieces, i) for i in range(parts - 1)] + [F.when(F.size(pieces) >= parts, F.array_join(F.slice(pieces, parts, 1_000_000), "-"))]
+    by_hyphen = [F.get(pieces, i) for i in range(parts - 1)] + [F.when(F.size(pieces) >= parts, F.array_join(F.slice(pieces, F.lit(parts), F.size(pieces)), "-"))]
     d = F.regexp_replace(v, r"\s", "")
     n = F.length(d)
     cut = lambda *at: F.array(*(F.substring(d, F.lit(a) if isinstance(a, int) else a, F.lit(b) if isinstance(b, int) else b) for a, b in at))

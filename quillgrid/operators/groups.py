@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -37,11 +39,11 @@ def boilerplate(df: DataFrame, page: str, line: str, least: int, share: float) -
     return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least).join(F.broadcast(pages)).where(F.col("n_pages") >= share * F.col("pages")).select("key", "n_pages")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (u, v): labels sink along edges and jump to their label's label until nothing moves."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select(F.col("u").alias("node"), "c").checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("c").alias("m"))
         moved = label.join(near, label["node"] == near["u"]).select("node", F.least("c", "m").alias("n"), "c")
         jump = moved.select(F.col("node").alias("at"), F.col("n").alias("further"))
@@ -49,12 +51,26 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         label = after.select("node", F.col("n").alias("c"))
         if after.where("n <> c").isEmpty():
             return label.withColumnRenamed("c", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def level_parents(df: DataFrame, keys: Sequence[str], order: str, level: str, depth: int) -> DataFrame:
-    """Each row's parent: the nearest earlier row of a smaller level. One window carries the last row of every level below ``depth``."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == d, F.col(order)), ignorenulls=True).over(w) for d in range(depth)]
-    below = [F.when(F.col(level) > d, last[d]) for d in range(depth)]
-    return df.withColumn("parent", F.greatest(*below) if depth > 1 else below[0])
+def level_parents(df: DataFrame, keys: Sequence[str], order: str, level: str) -> DataFrame:
+    """Each row's parent: the nearest earlier row of a smaller level, whatever the levels. An ordered pass over each group with a stack.
+
+    A group is one stream of records and is held whole in a task; rows without a level have no parent and are nobody's.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
+        open_: list[tuple[object, int]] = []
+        parents = []
+        for at, depth in zip(frame[order], frame[level], strict=True):
+            if pd.isna(depth):
+                parents.append(None)
+                continue
+            while open_ and open_[-1][1] >= depth:
+                open_.pop()
+            parents.append(open_[-1][0] if open_ else None)
+            open_.append((at, depth))
+        return frame.assign(parent=pd.Series(parents, index=frame.index, dtype=object))
+
+    return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("parent", df.schema[order].dataType)]))

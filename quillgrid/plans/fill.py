@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgrid.functions.labels import OTHER_PARTY, SELF_PARTIES, alias_table, normalise_label
+from quillgrid.functions.labels import OTHER_PARTY, SELF_PARTIES, alias_table, nfc, normalise_label
 
 # How specific a name of a blank is, and what an alias costs.
 ID, KEY, FULL, INNER, ALIAS = 100, 90, 80, 50, 5
@@ -98,7 +98,7 @@ def names_table(spark: SparkSession, slots: Iterable[Slot]) -> DataFrame:
 
 def match(columns: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(form_id, column, slot_ord, slot_key, score, ambiguous): the best blanks of each distinct ``column``, ties and all."""
-    c = columns.select("column", normalise_label(F.col("column")).alias("word"))
+    c = columns.select("column", normalise_label(nfc(F.col("column"))).alias("word"))  # distinct columns: a schema-sized job
     variants = c.select("column", F.col("word").alias("name"), F.lit(0).alias("cost")).unionByName(c.join(aliases, "word").where("alias <> word").select("column", F.col("alias").alias("name"), F.lit(ALIAS).alias("cost")))
     hit = variants.join(names, "name").withColumn("score", F.col("score") - F.col("cost"))
     # The first of equal names counts for the qualifier: the column's own, then by name.

@@ -277,7 +277,7 @@ def merge_intervals(spark, sf_dir):
 def level_tree_parent(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).cast("bigint").alias("ord"), (F.col("l_quantity").cast("bigint") % 4).alias("level"))
-    return G.level_parents(li, ["l_orderkey"], "ord", "level", 4)
+    return G.level_parents(li, ["l_orderkey"], "ord", "level")
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS u, 1000000 + c_nationkey * 10 + c_custkey % 10 AS v FROM customer), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, reach) AS (SELECT u, least(u, min(v)) FROM b GROUP BY u UNION SELECT b.u, r.reach FROM b JOIN r ON b.v = r.node) SELECT node, min(reach) AS component FROM r GROUP BY node")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.choices import is_label
+from quillgrid.functions.labels import is_label
 from quillgrid.plans.fill import _plain
 
 #: Rows lower than this (7200 to the inch) hold no line of writing.

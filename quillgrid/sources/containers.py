@@ -260,14 +260,31 @@ def replace_entries(content: bytes, new: dict[str, bytes]) -> bytes:
 
 
 def output_names(rows: DataFrame, template: list[str], form: str, row: str) -> DataFrame:
-    """``rows`` (form_ord, row, ...) with ``name``: columns named by ``template`` joined, unsafe characters as _, repeats numbered in order of arrival."""
-    from pyspark.sql.window import Window
+    """``rows`` (form_ord, row, ...) with ``name``: columns named by ``template`` joined, unsafe characters as _, made unique in order of arrival.
 
+    A taken name goes on to " (2)", " (3)" until it is free, also past names that read so themselves. Only names that differ in such
+    endings can clash; each such family is one group.
+    """
     stem = F.regexp_replace(F.concat_ws("-", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in template)), r'[\\/:*?"<>|\x00-\x1f]', "_")
     stem = F.when(F.trim(stem) == "", F.col(form).cast("string")).otherwise(F.trim(stem))
-    n = F.row_number().over(Window.partitionBy("_stem").orderBy("form_ord", row))
-    named = rows.withColumn("_stem", stem).withColumn("_n", n)
-    return named.withColumn("name", F.when(F.col("_n") > 1, F.concat("_stem", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col("_stem"))).drop("_stem", "_n")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["form_ord", row], kind="stable")
+        names: list[str] = []
+        taken: set[str] = set()
+        last: dict[str, int] = {}
+        for wish in frame["name"]:
+            name, n = wish, last.get(wish, 1)
+            while name in taken:
+                n += 1
+                name = f"{wish} ({n})"
+            last[wish] = n
+            taken.add(name)
+            names.append(name)
+        return frame.assign(name=names)
+
+    named = rows.withColumn("name", stem).withColumn("_family", F.regexp_replace("name", r"( \(\d+\))+$", ""))
+    return named.groupBy("_family").applyInPandas(run, named.schema).drop("_family")
 
 
 def compound_of(files: dict[str, bytes], cutoff: int = 4096) -> bytes:

@@ -115,6 +115,7 @@ def long_records(df: DataFrame, rec_id: str, columns: dict[str, str]) -> DataFra
 
 def json_column_records(df: DataFrame, rec_id: str, column: str) -> DataFrame:
     """(rec_id, column, value) of a column of JSON objects, without nulls, numbers as they read in text."""
-    m = F.from_json(column, "map<string,string>")
-    got = df.select(F.col(rec_id).alias("rec_id"), F.explode(m).alias("column", "value")).where("value is not null")
-    return got.withColumn("value", F.regexp_replace("value", r"^(-?\d+)\.0+$", "$1"))
+    text, typed = F.from_json(column, "map<string,string>"), F.from_json(column, "map<string,variant>")
+    got = df.select(F.col(rec_id).alias("rec_id"), typed.alias("_typed"), F.explode(text).alias("column", "value")).where("value is not null")
+    string = F.schema_of_variant(F.col("_typed")[F.col("column")]) == "STRING"
+    return got.select("rec_id", "column", F.when(string, F.col("value")).otherwise(F.regexp_replace("value", r"^(-?\d+)\.0+$", "$1")).alias("value"))
