@@ -113,9 +113,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Fores
     return fit(x, got["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Forest) -> DataFrame:
-    """``docs`` with a column ``score``: the probability that the text is of quality 1. A column of that name is replaced."""
-    docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
+def score(docs: DataFrame, model: Forest, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability that the text is of quality 1. A column of that name is replaced."""
+    docs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     place = names.index("text")
 
@@ -123,6 +123,6 @@ def score(docs: DataFrame, model: Forest) -> DataFrame:
         for whole in batches:
             for batch in K.batches(whole, "text"):
                 s = model.scores(features(*K.buffer_of(batch.column(place))))
-                yield pa.record_batch([*batch.columns, pa.array(s)], names=[*names, "score"])
+                yield pa.record_batch([*batch.columns, pa.array(s)], names=[*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

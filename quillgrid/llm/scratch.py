@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -15,9 +16,11 @@ BROADCAST_ROWS = 500_000
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
         try:
             spark.conf.set("spark.checkpoint.dir", named)
