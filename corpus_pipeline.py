@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run()
 writes each result as Parquet to the shared folder and reads it as the next one's docs.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever else these are named.
+
+Defined results: null and empty texts are scored like any others, are near no document, hold
+no passage and no secret, and have one empty segmentation; a null doc_id is kept by every
+stage that its text passes; rows that repeat a doc_id are one document after the
+near-duplicates, the row with the least hash of its columns; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from quillgrid.session import ship
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (5) gives a score of 0.5 or more."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    kept = score(docs, learn(docs, labels)).where("score >= 0.5")
+    kept = score(docs, learn(docs, labels), "_quality").where("_quality >= 0.5")
     return kept.select(*docs.columns)
 
 
@@ -37,7 +42,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if twice.isEmpty():
         return left
     once = left.join(small(twice), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(small(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(_one_each(left.join(small(twice), "doc_id", "left_semi").select(*docs.columns)))
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """The row of each doc_id whose columns have the least hash: the same one in every run."""
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("_row"))
+    return first.select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
