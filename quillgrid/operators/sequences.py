@@ -27,6 +27,14 @@ def value_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return islands(df, keys, order, F.lag(value).over(w) != F.col(value), "run")
 
 
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, reset: Column, name: str) -> DataFrame:
+    """``df`` with the last ``value`` so far that is not null, forgotten at rows that ``reset``."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = df.withColumns({"_part": F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(w), "_own": value})
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn(name, F.last("_own", ignorenulls=True).over(own)).drop("_part", "_own")
+
+
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, tie: str) -> DataFrame:
     """``left`` with the ``value`` of the last ``right`` row at or before ``at`` (ties: greatest ``tie``): one union and one window, no range join."""
     cols = [*keys, at]

@@ -155,7 +155,7 @@ def ambiguous(matches: DataFrame) -> DataFrame:
 
 
 def cross_records(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every record of ``left`` with every one of ``right`` (rec_id, rec map<string, string>); the right one's values win. An empty side leaves the other as it is."""
+    """Every record of ``left`` with every one of ``right`` (rec_id, rec map<string, string>); the right one's values win. A product by definition; an empty left side leaves the right one as it is, an empty right one leaves nothing."""
     if left.isEmpty():
         return right
     if right.isEmpty():

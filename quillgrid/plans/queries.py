@@ -14,7 +14,9 @@ from quillgrid.functions.choices import find_choices
 from quillgrid.functions.diff import diffs
 from quillgrid.functions import text as T
 from quillgrid.functions import values as V
+from quillgrid.operators import corpus as C
 from quillgrid.operators import groups as G
+from quillgrid.operators import layout as Y
 from quillgrid.operators import sequences as S
 from quillgrid.plans import fill as P
 from quillgrid.plans import golden as GOLDEN
@@ -230,8 +232,7 @@ def interval_anti(spark, sf_dir):
 @query(f"WITH a AS ({_SPANS}), b AS ({_FIXED}) SELECT a.user_id, lo, hi, CAST(sum(least(\"end\", hi) - greatest(\"start\", lo)) AS BIGINT) AS covered, sum(least(\"end\", hi) - greatest(\"start\", lo)) * 10 >= 6 * (hi - lo) AS enough FROM a JOIN b ON a.user_id = b.user_id AND \"start\" < hi AND lo < \"end\" GROUP BY a.user_id, lo, hi")
 def interval_coverage(spark, sf_dir):
     met = S.overlaps(_spans(spark, sf_dir), _fixed(spark, sf_dir), ["user_id"], 86400)
-    got = met.groupBy("user_id", "lo", "hi").agg(F.sum(F.least("end", "hi") - F.greatest("start", "lo")).alias("covered"))
-    return got.withColumn("enough", F.col("covered") * 10 >= 6 * (F.col("hi") - F.col("lo")))
+    return Y.covered(met, ["user_id"])
 
 
 @query("SELECT user_id, run, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, CAST(sum(CASE WHEN prev IS NULL OR prev <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, run")
@@ -242,10 +243,8 @@ def style_runs(spark, sf_dir):
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS label FROM (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM events)")
 def carry_label(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = table(spark, sf_dir, "events").withColumn("part", F.sum((F.col("event_type") == "purchase").cast("int")).over(w))
-    own = Window.partitionBy("user_id", "part").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(own).alias("label"))
+    label = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return S.carried(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], label, F.col("event_type") == "purchase", "label").select("event_id", "label")
 
 
 @query(f"SELECT user_id, count(*) AS n_bands, CAST(max(\"end\" - \"start\") AS BIGINT) AS longest FROM ({_SPANS}) GROUP BY user_id")
@@ -262,9 +261,8 @@ def monotonic_check(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, number FROM (SELECT *, CAST(sum(CASE WHEN l_quantity >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS number FROM lineitem) WHERE l_quantity >= 10")
 def keep_prefix_sum(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
-    li = table(spark, sf_dir, "lineitem").withColumn("number", F.sum((F.col("l_quantity") >= 10).cast("int")).over(w))
-    return li.where("l_quantity >= 10").select("l_orderkey", "l_partkey", "l_linenumber", "number")
+    kept = Y.renumbered(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_quantity") >= 10)
+    return kept.select("l_orderkey", "l_partkey", "l_linenumber", "number")
 
 
 @query("SELECT user_id, \"start\", max(\"end\") AS \"end\" FROM (SELECT *, min(s) OVER (PARTITION BY user_id, island) AS \"start\" FROM (SELECT *, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, \"end\" ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(\"end\") OVER (PARTITION BY user_id ORDER BY s, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 7200 AS \"end\" FROM events)))) GROUP BY user_id, \"start\"")
@@ -357,8 +355,7 @@ def bbox_diff(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     f = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     d = e.join(f, "vec_id").select("label", F.posexplode(F.zip_with("embedding", "other", lambda a, b: F.abs(a - b).cast("double"))).alias("i", "d"))
-    over = F.col("d") > 0.5
-    return d.groupBy("label").agg(F.count(F.lit(1)).alias("n_values"), F.avg("d").alias("mean_diff"), F.count_if(over).alias("over"), F.min(F.when(over, F.col("i").cast("bigint"))).alias("left_edge"), F.max(F.when(over, F.col("i").cast("bigint"))).alias("right_edge"))
+    return C.difference_box(d, ["label"], "i", "d", 0.5)
 
 
 @query("SELECT vec_id, arg_max(s, round(c, 9) * 1000 - s) AS shift FROM (SELECT vec_id, s, list_sum(list_transform(range(1, 65 - s), lambda i: embedding[i]::DOUBLE * embedding[i + s]::DOUBLE)) AS c FROM embeddings, range(1, 9) AS t(s)) GROUP BY vec_id")
@@ -390,8 +387,7 @@ def org_cap(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k % 5 = 1")
 def stride_sample(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(w)).where("k % 5 = 1").select("o_custkey", "o_orderkey")
+    return C.every_kth(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey")
 
 
 @query("SELECT o_orderpriority AS problem, o_custkey FROM orders WHERE o_totalprice > 100000 EXCEPT ALL SELECT o_orderpriority, o_custkey FROM orders WHERE o_orderstatus = 'F'")
