@@ -51,7 +51,7 @@ ORDER, LEAST, GAIN, OWN, SHARE = 3, 32, 8.0, 2.0, 0.001
 #: Contexts (24 bytes each) that are broadcast at most; more are joined.
 HELD = 1 << 20
 #: Words, and pairs of a context and a symbol, that are broadcast at most.
-WORDS, PAIRS = 1 << 19, 1 << 16
+WORDS, PAIRS = 1 << 19, 1 << 19
 #: Bits of the map of pairs that are joined, as a power of two, at most.
 BITS = 27
 #: Hashes that stand for the start and the end of a text.
