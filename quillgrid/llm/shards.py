@@ -22,7 +22,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.scratch import filesystem
+from quillgrid.llm.scratch import BROADCAST_ROWS, filesystem
 
 TARGET, FAN_IN, GROWTH = 64 << 20, 4, 4
 
@@ -151,8 +151,8 @@ class Store:
         rows = self.spark.read.schema(schema).parquet(*files)
         names = [f"_qg_{i}" for i in range(len(schema))]
         rows = rows.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(schema, names, strict=True)), F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"(shards/.*)$", 1).alias("_qg_file"), F.col("_metadata.file_block_start").alias("_qg_block"))
-        # The listing is that of the manifest: one short row a shard.
-        rows = rows.join(F.broadcast(listing), "_qg_file").repartitionByRange(len(runs), "_qg_run").sortWithinPartitions("_qg_run", "_qg_arrival", "_qg_block")
+        # The listing is that of the manifest, one short row a shard: few, unless shards are many.
+        rows = rows.join(F.broadcast(listing) if len(number) <= BROADCAST_ROWS else listing, "_qg_file").repartitionByRange(len(runs), "_qg_run").sortWithinPartitions("_qg_run", "_qg_arrival", "_qg_block")
         rows = rows.select(*(F.col(n).alias(f.name) for f, n in zip(schema, names, strict=True)), "_qg_run")
         rows.write.option("compression", "zstd").partitionBy("_qg_run").parquet(f"{self.root}/{folder}")
         merged = []

@@ -26,6 +26,8 @@ from quillgrid.llm.nativetext import ngram_hashes, words
 from quillgrid.llm.scratch import settle, small
 
 SPAN, GRAM = 10, 5
+#: Bytes of windows that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 
 
 def with_fingerprints(df: DataFrame, span: int, gram: int) -> DataFrame:
@@ -39,6 +41,13 @@ def with_fingerprints(df: DataFrame, span: int, gram: int) -> DataFrame:
     return df.withColumn("prints", F.array_distinct(least)).drop("grams", "n_grams")
 
 
+def _windows(keyed: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The windows of items, broadcast if their texts are at most ``most`` bytes in all (counted), else for a join by shuffle."""
+    windows = keyed.select("item_row", "item", "window", "spans")
+    sized = F.octet_length("item") + F.aggregate("spans", F.lit(0), lambda n, s: n + F.octet_length(s))
+    return F.broadcast(windows) if (windows.agg(F.sum(sized)).first()[0] or 0) <= most else windows
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items array<string>, contaminated) of every row of ``docs`` (doc_id, text, ...)."""
     if not 1 <= gram <= span:
@@ -85,7 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     spot = spot.select("doc_id", "text_hash", "n", F.col("x.size").alias("size"), F.col("x.at").alias("at"), F.col("x.f").alias("f"), low.alias("low"), F.slice("words", low + 1, span + reach).alias("near"))
     by_item = met.select("doc_id", "text_hash", "item_row", F.explode("found").alias("f"))
     pair = spot.join(by_item, same(spot, by_item) & (spot["f"] == by_item["f"])).select(spot["doc_id"], spot["text_hash"], "n", "size", "at", "low", "near", "item_row")
-    pair = pair.join(small(keyed.select("item_row", "item", "window", "spans"), 100_000), "item_row")
+    pair = pair.join(_windows(keyed), "item_row")
     pair = pair.where(F.col("size") == F.when(F.col("window") == span, gram).otherwise(F.col("window")))
     # The windows that hold the gram, compared word by word; a short item's gram is its window.
     first = F.when(F.col("window") == span, F.col("low")).otherwise(F.col("at"))
