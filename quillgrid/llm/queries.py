@@ -83,7 +83,7 @@ def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgrid.llm.scratch import new_path
+    from quillgrid.llm.scratch import BROADCAST_ROWS, new_path
     from quillgrid.llm.shards import Store
 
     store = Store(spark, new_path(spark, "store"))
@@ -91,9 +91,13 @@ def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = len(store.shards())
     store.compact()
     version = store.version()
-    shard = F.regexp_extract(F.col("_metadata.file_path"), r"(shards/.*)$", 1)
-    got = store.read().select("doc_id", F.length("text").cast("bigint").alias("text_chars"), shard.alias("shard"))
-    return got.select("doc_id", "text_chars", F.xxhash64("shard").alias("shard"), F.lit(version).alias("version"), F.lit(before).alias("n_arrivals"), F.lit(len(store.shards())).alias("n_shards"))
+    # Names of files are drawn anew in each run; a shard is told by its place in the manifest, its rows and its merges.
+    listed = store.shards()
+    listing = spark.createDataFrame([(s.path, i, s.rows, s.merges) for i, s in enumerate(listed)], "path string, shard int, shard_rows long, merges int")
+    path = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"(shards/.*)$", 1)
+    got = store.read().select("doc_id", F.length("text").cast("bigint").alias("text_chars"), path.alias("path"))
+    got = got.join(F.broadcast(listing) if len(listed) <= BROADCAST_ROWS else listing, "path")
+    return got.select("doc_id", "text_chars", "shard", "shard_rows", "merges", F.lit(version).alias("version"), F.lit(before).alias("n_arrivals"), F.lit(len(listed)).alias("n_shards"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
