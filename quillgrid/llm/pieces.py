@@ -396,10 +396,11 @@ def _vocabulary(name: str) -> Vocabulary:
     return _LOADED[name]
 
 
-def sample_encodings(docs: DataFrame, model_file: str, k: int = 3, seed: int = 11) -> DataFrame:
+def sample_encodings(docs: DataFrame, model_file: str, k: int = 3, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """Up to k rows for each row of ``docs`` (doc_id, text, ...): doc_id, rank from 0, ids, n_pieces, log_prob, value, inclusion, decodes.
 
     ``decodes`` says whether the pieces spell the text again. The model file is sent to the executors as a Spark file.
+    Texts are worked on ``block`` bytes at once (or one text): less takes less memory and more time, rows are the same.
     """
     if k < 1:
         raise ValueError("k is 1 or more")
@@ -409,7 +410,7 @@ def sample_encodings(docs: DataFrame, model_file: str, k: int = 3, seed: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(_vocabulary(name), k, seed)
         for whole in batches:
-            for batch in K.batches(whole, "text", BLOCK):
+            for batch in K.batches(whole, "text", block):
                 key = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
                 for x in sampler(batch.column(1), key):
                     ids = pa.ListArray.from_arrays(pa.array(x["cuts"].astype(np.int32)), pa.array(x["ids"].astype(np.int32)))

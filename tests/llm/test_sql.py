@@ -45,3 +45,12 @@ def test_on_hard_texts(spark, tmp_path, name):
 
 def test_all_ten_are_registered():
     assert [f.__name__.split("_")[0] for f in QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_sampled_segmentations_do_not_depend_on_the_block(spark):
+    from quillgrid.llm.pieces import sample_encodings
+    from quillgrid.llm.queries import TOKENIZERS
+
+    docs = spark.read.parquet(str(DATA / "sf0.001" / "documents.parquet"))
+    one, other = (sorted(map(str, sample_encodings(docs, f"{TOKENIZERS}/piece_bpe_32k.model", k=2, block=b).select("doc_id", "rank", "ids").collect())) for b in (1 << 20, 1 << 10))
+    assert one == other and one
