@@ -24,6 +24,9 @@ from quillgrid.llm.secrets import redact
 from quillgrid.llm.winnow import decontaminate
 from quillgrid.session import ship
 
+#: Bytes of text that are segmented at once: executors still hold what earlier stages took, so it is less than where op2 runs alone.
+PIECES_BLOCK = 1 << 18
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (5) gives a score of 0.5 or more."""
@@ -68,7 +71,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     """Two distinct sampled segmentations of each document (2): doc_id, rank, ids, n_pieces, log_prob, inclusion."""
     ship(spark)
-    return sample_encodings(docs, model_file, k=2).select("doc_id", "rank", "ids", "n_pieces", "log_prob", "inclusion")
+    return sample_encodings(docs, model_file, k=2, block=PIECES_BLOCK).select("doc_id", "rank", "ids", "n_pieces", "log_prob", "inclusion")
 
 
 STAGES = [("quality classifier", quality), ("near dedup", near_dedup), ("benchmark decontamination", decontamination), ("secret scan", secrets), ("sentencepiece", pieces)]
