@@ -140,3 +140,24 @@ ORACLES = {
     "op8_repetition_coverage": OP8,
     "op10_license_scan": OP10,
 }
+
+#: Words as in op13: ASCII letters in lower case, runs of digits, letters and all beyond ASCII.
+_PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: crc32 is a fold over the bytes of each different feature, by a table of the polynomial's 256 remainders.
+ORACLES["op13_importance_resampling"] = f"""
+WITH poly AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+b AS (SELECT {_PLAIN} AS w FROM benchmark),
+df AS (SELECT r, unnest(w) AS f FROM d UNION ALL SELECT r, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM d WHERE len(w) > 1),
+bf AS (SELECT unnest(w) AS f FROM b UNION ALL SELECT unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM b WHERE len(w) > 1),
+fs AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+fb AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k FROM fs, poly),
+s AS (SELECT k, count(*) AS n FROM df JOIN fb USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM bf JOIN fb USING (f) GROUP BY k),
+g AS (SELECT i AS k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE)))::BIGINT AS gain FROM range(10000) r(i) LEFT JOIN s ON s.k = i LEFT JOIN t ON t.k = i),
+m AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM df JOIN fb USING (f) JOIN g USING (k) GROUP BY r),
+x AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight, ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT AS h FROM d LEFT JOIN m ON m.r = d.r),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, n_features, weight) AS rank FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM z) // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (r)
+"""

@@ -106,7 +106,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_minhash_near_dedup, op2_sentencepiece_sampling, op3_secret_scan, op4_suffix_tree_score, op5_quality_classifier, op6_winnowing_decontamination, op7_chat_tool_linking, op8_repetition_coverage, op9_size_tiered_shards, op10_license_scan)
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    from quillgrid.llm.packing import pack
+
+    got = pack(table(spark, sf_dir, "documents"), tokenizer_file)
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.whitening import whiten
+
+    rows, w, error = whiten(table(spark, sf_dir, "embeddings"), most=32)
+    explained = F.element_at(F.lit([float(x) for x in w.explained] or [0.0]), F.col("component"))
+    out = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).withColumn("component", F.col("at") + 1)
+    return out.select("vec_id", "component", F.lit(w.n).cast("bigint").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgrid.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = (op1_minhash_near_dedup, op2_sentencepiece_sampling, op3_secret_scan, op4_suffix_tree_score, op5_quality_classifier, op6_winnowing_decontamination, op7_chat_tool_linking, op8_repetition_coverage, op9_size_tiered_shards, op10_license_scan, op11_retrieval_packing, op12_embedding_whitening, op13_importance_resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
