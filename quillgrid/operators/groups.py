@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillgrid.operators.nesting import level_parents  # noqa: F401  of this family, though a pass
+
 
 def top_each(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int | Column) -> DataFrame:
     """The first k rows of each group."""
@@ -51,26 +51,3 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("node", F.col("n").alias("c"))
         if after.where("n <> c").isEmpty():
             return label.withColumnRenamed("c", "component")
-
-
-def level_parents(df: DataFrame, keys: Sequence[str], order: str, level: str) -> DataFrame:
-    """Each row's parent: the nearest earlier row of a smaller level, whatever the levels. An ordered pass over each group with a stack.
-
-    A group is one stream of records and is held whole in a task; rows without a level have no parent and are nobody's.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        open_: list[tuple[object, int]] = []
-        parents = []
-        for at, depth in zip(frame[order], frame[level], strict=True):
-            if pd.isna(depth):
-                parents.append(None)
-                continue
-            while open_ and open_[-1][1] >= depth:
-                open_.pop()
-            parents.append(open_[-1][0] if open_ else None)
-            open_.append((at, depth))
-        return frame.assign(parent=pd.Series(parents, index=frame.index, dtype=object))
-
-    return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("parent", df.schema[order].dataType)]))

@@ -22,6 +22,7 @@ from quillgrid.plans import fill as P
 from quillgrid.plans import golden as GOLDEN
 from quillgrid.sources import records as R
 from quillgrid.session import ship
+from quillgrid.stages import shared_folder
 from quillgrid.streaming import ingest as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,9 +282,7 @@ def level_tree_parent(spark, sf_dir):
 @query("WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS u, 1000000 + c_nationkey * 10 + c_custkey % 10 AS v FROM customer), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, reach) AS (SELECT u, least(u, min(v)) FROM b GROUP BY u UNION SELECT b.u, r.reach FROM b JOIN r ON b.v = r.node) SELECT node, min(reach) AS component FROM r GROUP BY node")
 def components(spark, sf_dir):
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"), (1000000 + F.col("c_nationkey") * 10 + F.col("c_custkey") % 10).cast("bigint").alias("v"))
     return G.components(c)
 
