@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgrid.stages import deleted, written
+
 from quillgrid.operators.groups import top_each
 
 
@@ -35,17 +37,64 @@ def capped(rows: DataFrame, caps: Sequence[tuple[Sequence[str], Sequence[Column
     return reduce(lambda df, c: top_each(df, c[0], c[1], c[2]).drop("rank"), caps, rows)
 
 
-def quota_sample(rows: DataFrame, target: str, keyword: str, org: str, title: str, order: Column, quota: int, cap: int) -> DataFrame:
-    """Rows for each target: a title once in all, ``cap`` rows of an organisation, and ``quota`` by turns over the keywords.
+def quota_sample(rows: DataFrame, targets: Sequence[tuple[object, int, int]], target: str, keyword: str, org: str, title: str, order: Column) -> DataFrame:
+    """``rows`` drawn as one would row by row: for each of ``targets`` (value, quota, cap) in turn, keywords by turns.
+
+    In a turn each keyword, by value, offers its next row by ``order`` (different values for the rows of a keyword). It is taken unless its title (spacing
+    dropped) was taken before, for any target, or ``cap`` rows of its organisation were, for this one; a refused row takes
+    nothing away from others. A target is done at ``quota`` rows. Null titles, keywords and organisations are values like others.
 
-    Decided by ranks, in this order, so every step is a shuffle by its own key and no task holds a target's state.
+    Turns are ranks, cut to the first ones before they are shuffled, and offered in waves until the quota is met;
+    a wave is decided as a fixed point (``_decided``). Its rows are some multiple of the quota and the number of keywords.
+    """
+    spark = rows.sparkSession
+    bare = F.coalesce(F.regexp_replace(F.col(title).cast("string"), r"\s+", ""), F.lit("\0"))
+    base = rows.withColumns({"_title": bare, "_org": F.coalesce(F.col(org).cast("string"), F.lit("\0")), "_o": order})
+    taken: list[DataFrame] = []
+    for value, quota, cap in targets:
+        mine = base.where(F.col(target) == F.lit(value))
+        keywords = mine.select(keyword).distinct().count()
+        width, turn, left = 2 * -(-quota // max(keywords, 1)) + 2, 0, quota
+        orgs = spark.createDataFrame([], "_org string, _had bigint")
+        while left > 0 and keywords:
+            rank = F.row_number().over(Window.partitionBy(keyword).orderBy("_o"))
+            wave = mine.withColumn("_turn", rank).where(F.col("_turn") <= turn + width).where(F.col("_turn") > turn)
+            for t in taken:
+                wave = wave.join(t.select("_title"), "_title", "left_anti")
+            wave = written(wave.join(orgs, "_org", "left").na.fill(0, ["_had"]).where(F.col("_had") < cap), "wave")
+            if mine.groupBy(keyword).count().where(F.col("count") > turn).isEmpty():
+                break
+            got = written(_decided(wave, keyword, left, cap), "taken")
+            taken.append(got)
+            left -= got.count()
+            orgs = written(orgs.unionByName(got.groupBy("_org").agg(F.count(F.lit(1)).alias("_had"))).groupBy("_org").agg(F.sum("_had").alias("_had")), "orgs")
+            turn, width = turn + width, 2 * width
+    out = rows.limit(0)
+    for t in taken:
+        out = out.unionByName(t.select(*rows.columns))
+    return out
+
+
+def _decided(wave: DataFrame, keyword: str, quota: int, cap: int) -> DataFrame:
+    """Rows of a wave that are taken, one after the other by turn and keyword.
+
+    In each round an open row is refused if a taken row before it has its title, or those before it fill its organisation or the
+    quota; it is taken if none of these can happen even if all open rows before it are taken. The
+    first open row is always decided, and most are at once.
     """
-    bare = F.regexp_replace(F.col(title), r"\s+", "")
-    once = top_each(rows.withColumns({"_title": bare, "_h": order}), ["_title"], [target, "_h"], 1).drop("rank")
-    orgs = top_each(once, [target, org], ["_h"], cap).drop("rank")
-    turns = orgs.withColumn("_turn", F.row_number().over(Window.partitionBy(target, keyword).orderBy("_h")))
-    # The first ``quota`` turns of each keyword are all that can be picked: what the last rank sorts is bounded by them.
-    return top_each(turns.where(F.col("_turn") <= quota), [target], ["_turn", "_h"], quota).drop("_title", "_h", "_turn")
+    line = ("_turn", F.asc_nulls_first(keyword))
+    state = written(wave.withColumn("_is", F.lit("open")), "quota")
+    while not state.where("_is = 'open'").isEmpty():
+        before = lambda *keys: Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*line).rowsBetween(Window.unboundedPreceding, -1)
+        n = lambda what, w: F.coalesce(F.sum(F.col("_is").isin(*what).cast("int")).over(w), F.lit(0))
+        took, may = ("taken",), ("taken", "open")
+        seen = state.withColumns({"_t": n(took, before("_title")), "_t2": n(may, before("_title")), "_c": n(took, before("_org")), "_c2": n(may, before("_org")), "_q": n(took, before()), "_q2": n(may, before())})
+        refused = (F.col("_t") > 0) | (F.col("_had") + F.col("_c") >= cap) | (F.col("_q") >= quota)
+        sure = (F.col("_t2") == 0) & (F.col("_had") + F.col("_c2") < cap) & (F.col("_q2") < quota)
+        after = written(seen.withColumn("_is", F.when(F.col("_is") != "open", F.col("_is")).when(refused, "refused").when(sure, "taken").otherwise("open")).select(*state.columns), "quota")
+        deleted(state)
+        state = after
+    return state.where("_is = 'taken'")
 
 
 def seeded_sample(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:

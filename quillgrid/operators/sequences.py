@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgrid.stages import deleted, written
+
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], new: Column, name: str = "island") -> DataFrame:
     """``df`` numbered from 1 by runs; ``new`` tells where a run begins and may look back with lag over (keys, order)."""
@@ -66,3 +68,32 @@ def merged(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFram
     w = Window.partitionBy(*keys).orderBy(start, end)
     top = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return islands(df, keys, (start, end), F.col(start) > top).groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end))
+
+
+def repeat_islands(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "island") -> DataFrame:
+    """``df`` numbered from 1 by runs that end before a value that the run already has; ``order`` values are whole numbers, one for each row of a key.
+
+    No lag sees it, as a run's start decides. From each row the next run would start at the least place from here on
+    that has the value of an earlier place from here on (a window from the end); the starts of runs are what the
+    first row reaches by these jumps, found by doubling them: rounds grow with the logarithm of a key's runs.
+    A null value is one like any other; rows with a null key are left in the first run.
+    """
+    keys = list(keys)
+    again = F.lead(order).over(Window.partitionBy(*keys, value).orderBy(order))
+    onward = Window.partitionBy(*keys).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    jumps = df.select(*keys, F.col(order).alias("_at"), again.alias("_again")).withColumn("_to", F.min("_again").over(onward)).drop("_again")
+    jumps = written(jumps, "jumps")
+    starts = written(jumps.groupBy(*keys).agg(F.min("_at").alias("_at")), "starts")
+    jumps_now = jumps
+    while True:
+        new = starts.join(jumps_now.where("_to is not null"), [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"))
+        if new.isEmpty():
+            break
+        more = written(starts.unionByName(new).distinct(), "starts")
+        ahead = jumps_now.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_then"))
+        further = written(jumps_now.where("_to is not null").join(ahead, [*keys, "_to"]).select(*keys, "_at", F.col("_then").alias("_to")), "jumps")
+        deleted(starts, jumps_now)
+        starts, jumps_now = more, further
+    marked = starts.select(*keys, F.col("_at").alias(order), F.lit(1).alias("_start"))
+    sofar = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(marked, [*keys, order], "left").withColumn(name, F.sum(F.coalesce("_start", F.lit(0))).over(sofar)).drop("_start")

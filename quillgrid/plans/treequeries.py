@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgrid.operators import editlogs as L
 from quillgrid.operators import nesting as N
+from quillgrid.operators import outline as O
+from quillgrid.operators import sequences as S
 from quillgrid.plans.queries import query, table
 
 _TAGS = ", ".join(f"'{t}'" for t in N.TREE_TAGS)
@@ -106,3 +109,77 @@ def tree_paths(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).cast("bigint").alias("ord"), (F.col("l_quantity").cast("bigint") % 4).alias("level"))
     t = N.climbed(N.level_parents(li, ["l_orderkey"], "ord", "level"), ["l_orderkey"], "ord", "parent", F.col("level") % 2 == 1, paths=True)
     return t.select("l_orderkey", "ord", "depth", "root", "nearest", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+# ---- outlines, lists of boxes, composed edits ---------------------------------------------
+
+#: Each document as a paragraph: its first 40 signs, a tab of 8 places, 40 more; three styles; blanks of 5, 0 and 9 places, the last one over the tab's end.
+_PARAGRAPH = """
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, 0 AS pos, length(t[1:40]) AS "end", t[1:40] AS text FROM d UNION ALL SELECT doc_id, length(t[1:40]), length(t[1:40]) + 8, NULL FROM d WHERE length(t) > 40 UNION ALL SELECT doc_id, length(t[1:40]) + 8, length(t[1:40]) + 8 + length(t[41:80]), t[41:80] FROM d WHERE length(t) > 40),
+s AS (SELECT DISTINCT doc_id, pos, max(style) OVER (PARTITION BY doc_id, pos) AS style FROM (SELECT doc_id, CAST(0 AS BIGINT) AS pos, doc_id % 4 AS style FROM d UNION ALL SELECT doc_id, doc_id % 23, (doc_id + 1) % 4 FROM d UNION ALL SELECT doc_id, 50 + doc_id % 11, (doc_id + doc_id % 2) % 4 FROM d)),
+m AS (SELECT doc_id, doc_id % 31 AS start, doc_id % 31 + 5 AS "end", 'b' AS slot, NULL AS option FROM d WHERE t <> '' UNION ALL SELECT doc_id, doc_id % 17, doc_id % 17, 'z', 1 FROM d WHERE t <> '' UNION ALL SELECT doc_id, 43, 52, 'w', 2 FROM d WHERE doc_id % 3 = 0 AND length(t) > 40),
+look(style, bold, color) AS (VALUES (0, false, '#000000'), (1, true, '#ff0000'), (2, false, '#ff0000'), (3, true, '#808080'))"""
+
+
+@query(
+    f"""WITH {_PARAGRAPH},
+c AS (SELECT doc_id, pos + i AS p, text[i + 1] AS ch FROM (SELECT doc_id, pos, text, unnest(range(length(text))) AS i FROM u WHERE text IS NOT NULL)
+  UNION ALL SELECT doc_id, pos, NULL FROM u WHERE text IS NULL),
+v AS (SELECT c.*, look.bold, CASE WHEN look.color <> '#000000' THEN color END AS color, EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND m.start = c.p) AS begins
+  FROM c JOIN LATERAL (SELECT arg_max(style, pos) AS style FROM s WHERE s.doc_id = c.doc_id AND s.pos <= c.p) q ON true LEFT JOIN look USING (style)
+  WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND m.start <= c.p AND m."end" > c.p)),
+n AS (SELECT *, CASE WHEN ch IS NULL OR lag(ch) OVER w IS NULL OR lag(p) OVER w <> p - 1 OR lag(bold) OVER w <> bold OR lag(color) OVER w IS DISTINCT FROM color OR begins THEN 1 ELSE 0 END AS new FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM n),
+part AS (SELECT doc_id, CASE WHEN max(ch) IS NULL THEN 'tab' ELSE 'text' END AS kind, CASE WHEN max(ch) IS NULL THEN chr(9) ELSE string_agg(ch, '' ORDER BY p) END AS text, CASE WHEN max(ch) IS NULL THEN false ELSE any_value(bold) END AS bold, CASE WHEN max(ch) IS NOT NULL THEN any_value(color) END AS color, NULL AS slot, NULL AS option, min(p) AS start, CASE WHEN max(ch) IS NULL THEN min(p) + 8 ELSE max(p) + 1 END AS "end", 1 AS rank FROM g GROUP BY doc_id, island
+  UNION ALL SELECT doc_id, 'slot', NULL, NULL, NULL, slot, option, start, "end", 0 FROM m
+  UNION ALL SELECT doc_id, 'text', '', false, NULL, NULL, NULL, 0, 0, 1 FROM d WHERE t = '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, rank, "end", slot) - 1 AS BIGINT) AS ord, kind, text, bold, color, slot, CAST(option AS INT) AS option, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM part"""
+)
+def outline_segments(spark, sf_dir):
+    """Documents as paragraphs: their text by look, with blanks and tabs in place."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    one, two = F.substring("t", 1, 40), F.substring("t", 41, 40)
+    d = d.withColumns({"a": one, "b": two, "n": F.length(one).cast("bigint")})
+    long = d.where(F.length("t") > 40)
+    units = d.select("doc_id", F.lit(0).cast("bigint").alias("pos"), F.col("n").alias("end"), F.col("a").alias("text"))
+    units = units.unionByName(long.select("doc_id", F.col("n").alias("pos"), (F.col("n") + 8).alias("end"), F.lit(None).cast("string").alias("text")))
+    units = units.unionByName(long.select("doc_id", (F.col("n") + 8).alias("pos"), (F.col("n") + 8 + F.length("b")).alias("end"), F.col("b").alias("text")))
+    k = F.col("doc_id")
+    style = lambda pos, s: F.struct(pos.cast("bigint").alias("pos"), s.cast("int").alias("style"))
+    styles = d.select("doc_id", F.inline(F.array(style(F.lit(0), k % 4), style(k % 23, (k + 1) % 4), style(50 + k % 11, (k + k % 2) % 4))))
+    mark = lambda start, end, slot, option: F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(slot).alias("slot"), F.lit(option).cast("int").alias("option"))
+    marks = d.where("t <> ''").select("doc_id", F.inline(F.array(mark(k % 31, k % 31 + 5, "b", None), mark(k % 17, k % 17, "z", 1))))
+    marks = marks.unionByName(long.where("doc_id % 3 = 0").select("doc_id", F.inline(F.array(mark(F.lit(43), F.lit(52), "w", 2)))))
+    looks = spark.createDataFrame([(0, False, "#000000"), (1, True, "#ff0000"), (2, False, "#ff0000"), (3, True, "#808080")], "style int, bold boolean, color string")
+    paragraphs = d.select("doc_id", F.lit(0).alias("last"), F.lit(0).alias("tables"), F.lit(True).alias("holds"))
+    return O.segments(paragraphs, units, styles, F.broadcast(looks), marks, ["doc_id"])
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w(user_id, i, seen, island, event_id) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(1 AS BIGINT), CAST(NULL AS BIGINT) FROM e
+  UNION ALL
+  SELECT e.user_id, e.i, CASE WHEN list_contains(seen, event_type) THEN [event_type] ELSE list_append(seen, event_type) END, CASE WHEN list_contains(seen, event_type) THEN island + 1 ELSE island END, e.event_id FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT user_id, event_id, island FROM w WHERE i > 0"""
+)
+def repeat_islands(spark, sf_dir):
+    """Runs of each user's events that end before a type the run already has."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return S.repeat_islands(e, ["user_id"], "event_id", "event_type").select("user_id", "event_id", "island")
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT user_id, event_id % 40 AS s, event_id % 40 + event_id % 4 AS e, event_id % 6 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w(user_id, place, i, moved) AS (
+  SELECT user_id, place, CAST(0 AS BIGINT), place FROM (SELECT DISTINCT user_id FROM events), range(0, 60, 7) r(place)
+  UNION ALL
+  SELECT w.user_id, w.place, l.i, CASE WHEN moved >= e THEN moved + n - (e - s) WHEN moved > s THEN NULL ELSE moved END FROM w JOIN l ON l.user_id = w.user_id AND l.i = w.i + 1)
+SELECT user_id, place, arg_max(coalesce(moved, -1), i) AS moved FROM w GROUP BY user_id, place"""
+)
+def edit_map(spark, sf_dir):
+    """Places of each user's text after all edits of a log made of their events; -1 where an edit took them away."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 40).alias("start"), (F.col("event_id") % 40 + F.col("event_id") % 4).alias("end"), (F.col("event_id") % 6).alias("length"))
+    places = e.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(56), F.lit(7))).cast("bigint").alias("place"))
+    return L.mapped(places, L.composed(e, ["user_id"], ["event_id"]), ["user_id"], "place").select("user_id", "place", F.coalesce("moved", F.lit(-1)).alias("moved"))

@@ -154,10 +154,26 @@ def strata_in_turn(spark, sf_dir):
     return C.first_strata(p, [("large", F.col("p_size") > 40, 8), ("dear", F.col("p_retailprice") > 900, 5), ("rest", F.lit(True), 7)], "p_partkey", ["p_retailprice", "p_partkey"])
 
 
-@query("WITH t AS (SELECT *, regexp_replace(p_name, '\\s+', '', 'g') AS title, md5('k' || p_partkey) AS h FROM part), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY p_type, h) AS k FROM t) WHERE k = 1), b AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY h) AS k2 FROM a) WHERE k2 <= 2), c AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_size % 4 ORDER BY h) AS turn FROM b) SELECT p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY turn, h) AS k3 FROM c) WHERE k3 <= 12")
+_DRAWN = {"Brand#12": (12, 2), "Brand#34": (40, 3), "Brand#21": (25, 1)}
+
+
+@query(
+    f"""WITH RECURSIVE target(value, quota, cap, t) AS (VALUES {", ".join(f"('{v}', {q}, {c}, {i})" for i, (v, (q, c)) in enumerate(_DRAWN.items(), 1))}),
+o AS (SELECT p_partkey, t, quota, cap, p_type || p_size % 3 AS org, regexp_replace(split_part(p_name, ' ', 1) || p_size % 9, '\\s+', '', 'g') AS title, p_size % 4 AS kw, row_number() OVER (PARTITION BY t, p_size % 4 ORDER BY md5('k' || p_partkey)) AS turn FROM part JOIN target ON p_brand = value),
+l AS (SELECT *, row_number() OVER (ORDER BY t, turn, kw) AS i FROM o),
+w(i, t, titles, orgs, n, taken) AS (
+  SELECT CAST(0 AS BIGINT), 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0, CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT i, t, CASE WHEN ok THEN list_append(titles, title) ELSE titles END, CASE WHEN ok THEN list_append(orgs, org) ELSE orgs END, n + ok::INT, CASE WHEN ok THEN p_partkey END FROM
+    (SELECT l.i, l.t, l.title, l.org, l.p_partkey, w.titles, CASE WHEN w.t = l.t THEN w.orgs ELSE [] END AS orgs, CASE WHEN w.t = l.t THEN w.n ELSE 0 END AS n,
+      NOT list_contains(w.titles, l.title) AND (w.t <> l.t OR len(list_filter(w.orgs, lambda x: x = l.org)) < l.cap) AND (w.t <> l.t OR w.n < l.quota) AS ok FROM w JOIN l ON l.i = w.i + 1))
+SELECT p_brand, p_partkey FROM w JOIN part ON p_partkey = taken"""
+)
 def quota_sample(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("kw", F.col("p_size") % 4)
-    return C.quota_sample(p, "p_type", "kw", "p_brand", "p_name", F.md5(F.concat(F.lit("k"), F.col("p_partkey").cast("string"))), 12, 2).select("p_type", "p_partkey")
+    name = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), (F.col("p_size") % 9).cast("string"))
+    p = table(spark, sf_dir, "part").withColumns({"kw": F.col("p_size") % 4, "title": name, "org": F.concat("p_type", (F.col("p_size") % 3).cast("string"))})
+    h = F.md5(F.concat(F.lit("k"), F.col("p_partkey").cast("string")))
+    return C.quota_sample(p, [(v, q, c) for v, (q, c) in _DRAWN.items()], "p_brand", "kw", "org", "title", h).select("p_brand", "p_partkey")
 
 
 @query("SELECT page_id FROM pages ORDER BY md5('seed|' || page_id), page_id LIMIT 20")
