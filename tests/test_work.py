@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillgrid.functions import blanks, fields, writing
+from quillgrid.functions.values import text_width
 from quillgrid.operators import corpus, layout
 from quillgrid.plans import reports
 
@@ -36,6 +37,62 @@ def test_values_keep_a_space_to_their_neighbours_and_the_width(spark):
     assert got[4] == "(: xy" + " " * 7 + ")" and got[5] == rows[5][1]
 
 
+def test_controls_beside_a_blank_are_no_words(spark):
+    part = lambda a, b: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("left").alias("align"), F.lit(None).cast("string").alias("prefix")))
+    row = spark.range(1).select(
+        writing.apply_edits(F.lit("ab" + " " * 8 + "\ufffccd"), writing.blank_edits(F.lit("ab" + " " * 8 + "\ufffccd"), part(2, 10), F.array(F.lit("xy")))).alias("a"),
+        writing.apply_edits(F.lit("a\ufffc" + " " * 8 + "cd"), writing.blank_edits(F.lit("a\ufffc" + " " * 8 + "cd"), part(2, 10), F.array(F.lit("a long value")))).alias("b"),
+        writing.plain_text(F.lit("a\ufffcb"), F.lit(0), F.lit(2)).alias("c"),
+        writing.plain_text(F.lit("a\ufffcb"), F.lit(2), F.lit(3)).alias("d"),
+        writing.choice_value(F.array(F.struct(F.lit("x").alias("label"), F.lit(None).cast("boolean").alias("checked")), F.struct(F.lit("y").alias("label"), F.lit(True).alias("checked"))), F.array(F.lit("x"), F.lit("y"))).alias("e"),
+    ).first()
+    assert row.a.startswith("ab xy ") and row.a.endswith("\ufffccd") and row.b == "a\ufffca long value cd"
+    assert (row.c, row.d, row.e) == (None, "b", "x")
+
+
+def test_widths_are_kept_over_parts(spark):
+    """Random parts against the rule said once more, value by value."""
+    import random
+
+    from quillgrid.functions.values import GLYPHS
+
+    rng, rows = random.Random(12), []
+    for i in range(120):
+        text, parts, at = "", [], 0
+        for _ in range(rng.randrange(1, 5)):
+            word = rng.choice(["", "20", "(", "ab", "-", "년", "x ", "\ufffc"])
+            blank = " " * rng.choice([0, 1, 3, 6, 9])
+            at = len(text) + len(word)
+            text += word + blank
+            parts.append((at, at + len(blank), rng.choice(["left", "right"]), rng.choice([None, None, None, "20"])))
+        text += rng.choice(["", "일", ")", " y"])
+        rows.append((i, text, parts, [rng.choice([None, "1", "26", "long value", ""]) for _ in parts]))
+    df = spark.createDataFrame(rows, "i int, t string, parts array<struct<start: int, `end`: int, align: string, prefix: string>>, v array<string>")
+    widths = {r.c: r.w for r in spark.createDataFrame([(c,) for c in sorted({c for r in rows for c in r[1] + "".join(v or "" for v in r[3])} | {" "})], "c string").select("c", text_width(F.col("c")).alias("w")).collect()}
+    wide = lambda s: sum(widths[c] for c in s)
+    word = lambda c: bool(c) and c not in " \u3000\u00a0\n\t\ufffc"
+    for r in df.select("i", writing.blank_edits(F.col("t"), F.col("parts"), F.col("v")).alias("e")).collect():
+        _, text, parts, values = rows[r.i]
+        due, want = 0.0, []
+        for (a, b, align, prefix), v in zip(parts, values):
+            if v is None:
+                due = 0.0
+                continue
+            left, right = text[a - 1 : a] if a else "", text[b : b + 1]
+            apart = word(left) and left not in "(（[-~∼/"
+            after = " " if word(right) and right not in ")）],.，。:：-~∼/" else ""
+            lead = " " if align == "left" and prefix is None and apart else ""
+            due += wide(text[a:b]) - wide(lead + v + after)
+            if prefix is not None or a == b:
+                out, due = (" " if a == b and word(left) else "") + v, due if prefix is not None else 0.0
+            else:
+                n = max(0, int((due / GLYPHS["space"] + 0.5) // 1))
+                due -= n * GLYPHS["space"]
+                out = lead + v + " " * n + after if align == "left" else " " * n + (" " if n == 0 and apart else "") + v + after
+            want.append((a, b, out))
+        assert [tuple(e) for e in r.e] == want[::-1], rows[r.i]
+
+
 def test_marks_and_choices(spark):
     row = spark.range(1).select(
         writing.mark_text(F.lit(3), F.lit("v")).alias("a"),
