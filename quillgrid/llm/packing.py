@@ -27,7 +27,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ from quillgrid.llm.scratch import settle
 
 #: Ids in a sequence; ids and remainders in an index shard; ids in a partition of remainders.
 WINDOW, SHARD_TOKENS, SHARD_DOCS, PARTITION_TOKENS = 2048, 1 << 19, 1 << 13, 1 << 22
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 19
+#: Words whose ids a worker remembers, some 20 bytes each, and parts of words, some 200 bytes each.
+REMEMBERED, REMEMBERED_PARTS = 1 << 21, 3 << 17
 #: BM25's saturation of counts and its share of length.
 K1, B = 1.2, 0.75
 #: Bits of a sequence number that count within a task.
@@ -51,72 +53,121 @@ COUNT_BITS = 36
 class Encoder:
     """Token ids of texts, exactly the tokenizer's own.
 
-    A tokenizer that drops white space gives a text the ids of its words one after the
-    other; the ids of words are then remembered, and only new words are tokenized, many at once,
-    with a mark between them. Other tokenizers get whole texts.
+    A tokenizer that drops white space gives a text the ids of its words one after the other, and
+    a word that starts with letters those of the letters and of the rest. The ids of words (by
+    their 64-bit hash) and of such parts are remembered; only new parts are tokenized, plain letters many at once, as each of
+    them ends with the one token that bears the tokenizer's end-of-word suffix. The ids of a block of texts are
+    then taken together. Other tokenizers get whole texts.
     """
 
-    #: The first one that is a single id is the mark; words that hold it are tokenized alone.
-    MARKS = "¤¶§¦^~|"
+    #: Letters, then nothing or a rest that starts with an ASCII sign or digit, but not with an apostrophe, which may belong to the letters after it.
+    CUT = re.compile(r"([^\W\d_]+)([!-&(-@\[-`{-~].*)?", re.S)
+    #: Below it, letters are composed and lower case has one letter for each.
+    SIMPLE = "\u0130"
 
-    def __init__(self, file: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, file: str, remembered: int = REMEMBERED, remembered_parts: int = REMEMBERED_PARTS) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(file)
-        self.dtype = np.uint16 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
-        self.remembered = remembered
-        self.mark = next((m for m in self.MARKS if len(self._ids(m)) == 1), "")
-        self.mark_id, *_ = self._ids(self.mark) or [-1]
-        self.by_words = bool(self.mark) and self._ids(f" a \t\r\n\v\f{self.mark} b ") == self._ids("a") + [self.mark_id] + self._ids("b")
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        self.parts: dict[str, bytes] = {}
+        self.remembered, self.remembered_parts = remembered, remembered_parts
+        self._forget()
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.last = np.zeros(size, bool)
+        if suffix:
+            self.last[[i for token, i in self.model.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+        self.by_words = self._ids(" a \t\r\n\v\f5. b ") == self._ids("a") + self._ids("5") + self._ids(".") + self._ids("b")
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes], run: int = 512) -> None:
-        mark = self.mark.encode()
-        alone = [w for w in words if mark in w or b"<|" in w]
-        plain = [w for w in words if mark not in w and b"<|" not in w]
-        for w in alone:
-            self.known[w] = np.array(self._ids(w.decode()), self.dtype).tobytes()
-        runs = [plain[i : i + run] for i in range(0, len(plain), run)]
-        got = self.model.encode_batch_fast([f" {self.mark} ".join(w.decode() for w in r) for r in runs], add_special_tokens=False)
-        for r, e in zip(runs, got):
-            ids = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            starts = np.concatenate([[0], cuts + 1])
-            ends = np.concatenate([cuts, [len(ids)]])
-            raw, size = ids.tobytes(), ids.itemsize
-            if len(starts) != len(r):
-                raise AssertionError("a word holds the mark")
-            for w, s, t in zip(r, (starts * size).tolist(), (ends * size).tolist()):
-                self.known[w] = raw[s:t]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text (UTF-8), as bytes of ``dtype``."""
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, word: str) -> tuple[str, ...]:
+        m = self.CUT.fullmatch(word)
+        if not m or not m[1].isalpha():
+            return (word,)
+        letters = m[1].lower() if max(m[1]) < self.SIMPLE else m[1]
+        return (letters, m[2]) if m[2] else (letters,)
+
+    def _learn_parts(self, parts: list[str], run: int = 512) -> None:
+        plain = [p for p in parts if p.isalpha() and max(p) < self.SIMPLE] if self.last.any() else []
+        for i in range(0, len(plain), run):
+            these = plain[i : i + run]
+            ids = np.array(self._ids(" ".join(these)), self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
+            if len(ends) != len(these):  # letters that aren't one run of letters to the tokenizer
+                self.parts.update(zip(these, self._bytes(these)))
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.parts.update(zip(these, (raw[s:t] for s, t in zip([0, *ends], ends))))
+        odd = [p for p in parts if p not in self.parts]
+        self.parts.update(zip(odd, self._bytes(odd)))
+
+    def _forget(self) -> None:
+        """No word is known: the ids of the word of ``hashes[i]``, which ascend, are ``flat[begin[i] : begin[i] + size[i]]``."""
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, self.dtype)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        cut = [self._cut(w.decode()) for w in words]
+        new = set().union(*cut).difference(self.parts)
+        if len(self.parts) + len(new) > self.remembered_parts:
+            self.parts.clear()
+            new = set().union(*cut)
+        self._learn_parts(sorted(new))
+        ids = self.parts.__getitem__
+        got = [b"".join(map(ids, c)) for c in cut]
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.flat.itemsize
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.size = np.insert(self.hashes, at, hashes), np.insert(self.size, at, size)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(size) - size)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), self.dtype)])
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The ids of each text, as bytes of ``dtype``; ``data`` holds the texts' UTF-8, ``off`` where they start and end."""
+        raw = data.tobytes()
         if not self.by_words:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(sorted(new))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+            at = off.tolist()
+            return self._bytes([raw[s:t].decode() for s, t in zip(at, at[1:])])
+        starts, ends, first = K.words(data, off)
+        hashes, at, of = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(hashes) > self.remembered:
+            self._forget()
+        place = np.searchsorted(self.hashes, hashes)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == hashes[known]
+        if not known.all():
+            new = at[~known]
+            self._learn(hashes[~known], [raw[s:t] for s, t in zip(starts[new].tolist(), ends[new].tolist())])
+            place = np.searchsorted(self.hashes, hashes)
+        begin, n = self.begin[place][of], self.size[place][of]
+        done = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(begin - done[:-1], n) + np.arange(done[-1])]
+        cuts = (done[first] * ids.itemsize).tolist()
+        out = ids.tobytes()
+        return [out[s:t] for s, t in zip(cuts, cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def encoder(file: str) -> Encoder:
+    """The file's encoder, kept with what it remembers while a worker lives."""
+    return Encoder(file)
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WINDOW, block: int = K.SLICE) -> DataFrame:
     """(doc_id, ids, n, base) of each row: its ids with the end id as bytes, how many, and how many full windows stand before it in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = Encoder(tokenizer_file), 0
+        encode, base = encoder(tokenizer_file), 0
         end, size = np.array([end_id], encode.dtype).tobytes(), np.dtype(encode.dtype).itemsize
         for whole in batches:
             for batch in K.batches(whole, "text", block):
                 data, off = K.buffer_of(batch.column(1))
-                raw, at = data.tobytes(), off.tolist()
-                ids = [x + end for x in encode([raw[s:t] for s, t in zip(at, at[1:])])]
+                ids = [x + end for x in encode(data, off)]
                 n = np.array([len(x) // size for x in ids], np.int64)
                 full = n // window
                 before = base + np.cumsum(full) - full
@@ -126,10 +177,6 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids binary, n bigint, base bigint")
 
 
-def id_type(tokenizer_file: str) -> type:
-    return Encoder(tokenizer_file).dtype
-
-
 def _arrays(column: pa.Array, dtype: type) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
@@ -326,8 +373,8 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WI
     """
     if window < 1 or shard_tokens < window:
         raise ValueError("a window has an id at least, and a shard a window")
-    encoder = Encoder(tokenizer_file)
-    dtype, vocabulary = encoder.dtype, max(encoder.model.get_vocab_size(with_added_tokens=True), end_id + 1)
+    known = encoder(tokenizer_file)
+    dtype, vocabulary = known.dtype, max(known.model.get_vocab_size(with_added_tokens=True), end_id + 1)
     tokens = settle(tokenized(docs, tokenizer_file, end_id, window).withColumn("row", F.monotonically_increasing_id()), "tokens")
     documents, total, left = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") % window), F.lit(0))).first()
     idf = idf_of(frequencies(tokens, dtype, vocabulary), documents)

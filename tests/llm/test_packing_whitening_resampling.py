@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.llm import packing, resampling, whitening
+from quillgrid.llm.kernel import buffer_of
 from quillgrid.llm.oracles import ORACLES
 from quillgrid.llm.queries import TOKENIZERS, queries
 
@@ -36,13 +38,13 @@ def table(spark, texts, parts=3):
 
 
 def test_ids_are_the_tokenizers_own():
-    encode, rng = packing.Encoder(FILE, remembered=50), random.Random(5)
+    encode, rng = packing.Encoder(FILE, remembered=250, remembered_parts=100), random.Random(5)
     assert encode.by_words
     alphabet = list("abcXYZ019'.,;§<|> \t\n\r\x0b\x0c\x1c\x85 　éÉ́ßΣσς한가\U0001f600")
     texts = [t or "" for t in HARD] + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(400)]
     for i in range(0, len(texts), 7):
         some = texts[i : i + 7]
-        for t, got in zip(some, encode([t.encode() for t in some])):
+        for t, got in zip(some, encode(*buffer_of(pa.array(some)))):
             assert np.frombuffer(got, encode.dtype).tolist() == encode.model.encode(t, add_special_tokens=False).ids, t
 
 
@@ -50,7 +52,7 @@ def test_tokenizers_that_keep_white_space_get_whole_texts():
     encode = packing.Encoder(f"{TOKENIZERS}/byte_bpe_50k.json")
     assert not encode.by_words
     for t in HARD[1:]:
-        assert np.frombuffer(encode([t.encode()])[0], encode.dtype).tolist() == encode.model.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(encode(*buffer_of(pa.array([t])))[0], encode.dtype).tolist() == encode.model.encode(t, add_special_tokens=False).ids
 
 
 def windows_by_force(remainders, df, documents, average, window):
