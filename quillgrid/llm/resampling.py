@@ -46,7 +46,9 @@ def bucketed(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n) over all features of all texts."""
-    return bucketed(texts.select("text"), buckets).select(F.explode("_buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    # explode_outer: before explode, Spark adds a filter that finds the buckets once more.
+    every = bucketed(texts.select("text"), buckets).select(F.explode_outer("_buckets").alias("bucket"))
+    return every.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
