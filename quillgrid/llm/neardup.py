@@ -1,8 +1,8 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 1. Each text becomes a set of word shingles (64-bit hashes) and a signature of
-   ``coordinates`` minima. Texts with the same set form a class; only its
-   representative (least doc_id) goes on.
+   ``coordinates`` minima. Texts with the same set form a class, which has a number of its own; only a
+   representative text of it goes on. Rows that share a doc_id may be in several classes, which are then linked.
 2. Representatives are posted under each (coordinate, value). Postings are ordered
    by global frequency; two signatures with at least ``matches`` equal coordinates
    must meet in the first ``coordinates - matches + 1`` (prefix). Values that one
@@ -100,7 +100,7 @@ def unlike(x: str, y: str, coordinates: int) -> Column:
 
 
 def sketches(docs: DataFrame, words_each: int, coordinates: int, least: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig, nib): set size, 128-bit key of the set, signature and its nibbles (null for sets under ``least``)."""
+    """(doc_id, th, n_shingles, k1, k2, sig, nib): hash of the text, set size, 128-bit key of the set, signature and its nibbles (null for sets under ``least``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(coordinates)
@@ -114,27 +114,37 @@ def sketches(docs: DataFrame, words_each: int, coordinates: int, least: int) ->
                     sig.append(None if m is None else m.view(np.int32))
                     nib.append(None if m is None else nibbles(m))
                 k = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sig, pa.list_(pa.int32())), pa.array(nib, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "sig", "nib"])
+                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sig, pa.list_(pa.int32())), pa.array(nib, pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "k1", "k2", "sig", "nib"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<int>, nib array<bigint>")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, th bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<int>, nib array<bigint>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, th)."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``ids`` (doc_id, k1), found again from their texts; k1 picks the text among rows that share a doc_id."""
+    """(id, shingles) of ``ids`` (id, doc_id, th), found again from the text that doc_id and th name; once for each row that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.batches(whole, "text"):
-                k1 = batch.column(2).to_pylist()
-                at, sets = [], []
-                for i, s in shingle_sets(batch, words_each):
-                    if np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)[0] == k1[i]:
-                        at.append(i)
-                        sets.append(s.view(np.int64))
-                yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                sets = [s.view(np.int64) for _, s in shingle_sets(batch, words_each)]
+                yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return _texts(docs).join(small(ids), ["doc_id", "th"]).select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
 
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id").select("doc_id", "text", "k1")
-    return wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+
+def settled_sets(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
+    """``full_sets``, written, each id once: only where rows repeat a text under its doc_id does that take a shuffle."""
+    sets = settle(full_sets(docs, ids, words_each), "sets")
+    if sets.count() == ids.count():
+        return sets
+    once = settle(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+    discard(sets)
+    return once
 
 
 def rare_first(items: DataFrame, total: Column, take: Column) -> DataFrame:
@@ -151,10 +161,10 @@ def rare_first(items: DataFrame, total: Column, take: Column) -> DataFrame:
 
 def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b), a settled table, whose full sets meet the threshold. Each side's set is joined by its id; a hot id's rows can be split."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(signed.select("id", "k1"), "id")
-    ids = settle(ids.withColumnRenamed("id", "doc_id"), "ids")
-    sets = settle(full_sets(docs, ids, words_each), "sets")
-    got = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(signed.select("id", "doc_id", "th"), "id")
+    ids = settle(ids, "ids")
+    sets = settled_sets(docs, ids, words_each)
+    got = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     links = settle(got.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     discard(ids, sets, pairs)
@@ -186,11 +196,11 @@ def _short_lists(placed: DataFrame, signed: DataFrame, percent: int, coordinates
 
 
 def _long_lists(rest: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """(a, b) across components among ``rest`` (doc_id, k1, component), by an exact prefix join on full sets."""
-    sets = full_sets(docs, rest.select("doc_id", "k1"), words_each)
-    shingles = sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    """(a, b) across components among ``rest`` (id, doc_id, th, component), by an exact prefix join on full sets."""
+    sets = settled_sets(docs, rest.select("id", "doc_id", "th"), words_each)
+    shingles = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     must = F.ceil(F.lit(percent) * F.col("n") / 100)
-    narrow = rare_first(shingles, F.col("n"), F.col("n") - must + 1).join(rest.select(F.col("doc_id").alias("id"), "component"), "id")
+    narrow = rare_first(shingles, F.col("n"), F.col("n") - must + 1).join(rest.select("id", "component"), "id")
     x, y = narrow.alias("x"), narrow.alias("y")
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))))
@@ -203,7 +213,7 @@ def _rest(posts: DataFrame, first: DataFrame, signed: DataFrame, docs: DataFrame
     mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size"), "mixed")
     short = _short_lists(placed.join(mixed.where(F.col("size") <= SHORT), "key", "left_semi"), signed, percent, coordinates, min(matches, FLOOR * coordinates // COORDINATES))
     rest = placed.join(mixed.where(F.col("size") > SHORT), "key", "left_semi").select("id", "component").distinct()
-    rest = settle(rest.join(signed.select("id", "k1"), "id").withColumnRenamed("id", "doc_id"), "rest")
+    rest = settle(rest.join(signed.select("id", "doc_id", "th"), "id"), "rest")
     late = settle(short.unionByName(_long_lists(rest, docs, words_each, percent)).distinct(), "late")
     discard(placed, mixed, rest)
     return late
@@ -217,12 +227,13 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, coo
     # A set so small that one more shingle breaks the threshold is like equal sets only.
     least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
     sketch = settle(sketches(docs, words_each, coordinates, least), "sketch")
-    real = sketch.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2")
-    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    member = settle(real.join(classes, ["k1", "k2"]).select("doc_id", "class_id", "k1", "k2"), "member")
-    reps = member.where("doc_id = class_id").select("doc_id", "k1", "k2").distinct()
-    signed = sketch.where("sig is not null").join(reps, ["doc_id", "k1", "k2"], "left_semi")
-    signed = settle(signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "k1", "sig", "nib").dropDuplicates(["id"]), "signed")
+    real = sketch.where("doc_id is not null and n_shingles > 0")
+    # Written, so that the numbers of classes stay what they are.
+    classes = real.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    classes = settle(classes.select("k1", "k2", "first.doc_id", "first.th", F.monotonically_increasing_id().alias("id")), "classes")
+    member = settle(real.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id"), "member")
+    signed = sketch.where("sig is not null").join(classes, ["k1", "k2", "doc_id", "th"])
+    signed = settle(signed.select("id", "doc_id", "th", F.col("n_shingles").alias("n"), "sig", "nib").dropDuplicates(["id"]), "signed")
     release(spark)
 
     posts = _postings(signed, coordinates, matches)
@@ -230,8 +241,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, coo
     links = confirmed(_stars(posts, signed, matches), signed, docs, words_each, percent)
     release(spark)
     # Rows that share a doc_id are one document, so their classes are linked.
-    same = member.groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).where("u <> v").select("doc_id", "u")
-    same = member.join(same, "doc_id").select("u", F.col("class_id").alias("v"))
+    same = member.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("doc_id", "u")
+    same = member.join(same, "doc_id").select("u", F.col("id").alias("v")).distinct()
     first = settle(components(links.unionByName(same)), "first")
     release(spark)
     late = confirmed(_rest(posts, first, signed, docs, words_each, percent, coordinates, matches), signed, docs, words_each, percent)
@@ -241,8 +252,10 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80, coo
         linked = settle(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)), "linked")
     discard(posts, signed)
 
-    placed = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    placed = placed.join(linked, placed["class_id"] == linked["node"], "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    # A component's number becomes the least doc_id in it; classes without links are components of their own.
+    put = settle(classes.select("id", F.col("doc_id").alias("class_id")).join(linked, classes["id"] == linked["node"], "left").select("id", "class_id", F.coalesce("component", "id").alias("component")), "put")
+    put = put.join(put.groupBy("component").agg(F.min("class_id").alias("component_id")), "component").select("id", "class_id", "component_id")
+    placed = member.join(put, "id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
