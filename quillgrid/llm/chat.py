@@ -13,8 +13,9 @@ Problems, listed by name: bad_call (no id or name), duplicate_call (an id used b
 the conversation; the first by turn and place is linked), duplicate_result, no_result,
 no_call, no_tool (no schema of that name), bad_arguments, cycle (also: refers to nothing).
 
-Defined results: texts that are no such JSON (NaN and Infinity are none), or are nested too
-deeply to be read, are plain messages; fields besides those named here stay in the JSON; null texts and roles are
+Defined results: texts that are no such JSON (NaN, Infinity and numbers out of a double's range
+are none), or are nested too deeply to be read, are plain messages; a {"$ref": id} fits every schema, as its
+value is not known; arguments given as JSON text are read, "{}" as no arguments; fields besides those named here stay in the JSON; null texts and roles are
 JSON null; a null conv_id links with nothing; repeated rows give repeated messages, and
 calls or results of a repeated row are duplicates; extra columns are ignored; an empty
 table gives an empty result.
@@ -93,11 +94,18 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError(f"{digits} is out of range")
+    return value
+
+
 def _object(text: str | None) -> dict | None:
     if not text or text.lstrip()[:1] != "{":
         return None
     try:
-        got = json.loads(text, parse_constant=_no_constant)
+        got = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
@@ -123,7 +131,8 @@ def _call(i: int, call: object, schemas: dict[str, dict]) -> tuple:
     if isinstance(call.get("function"), dict):
         call = {k: v for k, v in call.items() if k != "function"} | call["function"]
     if isinstance(call.get("arguments"), str):
-        call["arguments"] = _object(call["arguments"]) or call["arguments"]
+        read = _object(call["arguments"])
+        call["arguments"] = call["arguments"] if read is None else read
     call = {"arguments": {}, "id": None, "name": None} | call | {"type": "call"}
     name, id_, arguments = call["name"], call["id"], call["arguments"]
     problems = []
