@@ -11,6 +11,7 @@ from quillgrid.operators import nesting as N
 from quillgrid.operators import outline as O
 from quillgrid.operators import sequences as S
 from quillgrid.plans.queries import query, table
+from quillgrid.streaming import sessions
 
 _TAGS = ", ".join(f"'{t}'" for t in N.TREE_TAGS)
 _TAG = r"(?s)^<(/?)\s*([A-Za-z][\w:.-]*)(.*?)(/?)>$"
@@ -183,3 +184,15 @@ def edit_map(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 40).alias("start"), (F.col("event_id") % 40 + F.col("event_id") % 4).alias("end"), (F.col("event_id") % 6).alias("length"))
     places = e.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(56), F.lit(7))).cast("bigint").alias("place"))
     return L.mapped(places, L.composed(e, ["user_id"], ["event_id"]), ["user_id"], "place").select("user_id", "place", F.coalesce("moved", F.lit(-1)).alias("moved"))
+
+
+@query(
+    """WITH b AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM b)
+SELECT user_id, epoch_us(min(ts)) AS since, epoch_us(max(ts)) AS "at", max({'ts': ts, 'e': event_id}).e AS state, count(*) AS n FROM i GROUP BY user_id, burst"""
+)
+def session_states(spark, sf_dir):
+    """The last event of each burst of a user's events, two hours apart."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    got = sessions.session_states(e, ["user_id"], "ts", "event_id", "2 hours")
+    return got.select("user_id", F.unix_micros("since").alias("since"), F.unix_micros("at").alias("at"), "state", "n")
