@@ -126,7 +126,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
-    """(id, shingles) of ``ids`` (id, doc_id, th), found again from the text that doc_id and th name; once for each row that has it."""
+    """(id, shingles) of ``ids`` (id, doc_id, th), found again from the text that doc_id and th name; once for each row that has it.
+
+    Ids without doc_id and th are doc_ids themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -134,7 +137,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
                 sets = [s.view(np.int64) for _, s in shingle_sets(batch, words_each)]
                 yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return _texts(docs).join(small(ids), ["doc_id", "th"]).select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+    named = _texts(docs).join(small(ids), ["doc_id", "th"]) if "th" in ids.columns else _texts(docs).withColumnRenamed("doc_id", "id").join(small(ids), "id")
+    return named.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """The ids of ``rows``, with the text each stands for."""
+    return rows.select("id", *(c for c in ("doc_id", "th") if c in rows.columns))
 
 
 def settled_sets(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
@@ -161,7 +170,7 @@ def rare_first(items: DataFrame, total: Column, take: Column) -> DataFrame:
 
 def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b), a settled table, whose full sets meet the threshold. Each side's set is joined by its id; a hot id's rows can be split."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(signed.select("id", "doc_id", "th"), "id")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(_named(signed), "id")
     ids = settle(ids, "ids")
     sets = settled_sets(docs, ids, words_each)
     got = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -197,7 +206,7 @@ def _short_lists(placed: DataFrame, signed: DataFrame, percent: int, coordinates
 
 def _long_lists(rest: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """(a, b) across components among ``rest`` (id, doc_id, th, component), by an exact prefix join on full sets."""
-    sets = settled_sets(docs, rest.select("id", "doc_id", "th"), words_each)
+    sets = settled_sets(docs, _named(rest), words_each)
     shingles = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     must = F.ceil(F.lit(percent) * F.col("n") / 100)
     narrow = rare_first(shingles, F.col("n"), F.col("n") - must + 1).join(rest.select("id", "component"), "id")
@@ -213,7 +222,7 @@ def _rest(posts: DataFrame, first: DataFrame, signed: DataFrame, docs: DataFrame
     mixed = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size"), "mixed")
     short = _short_lists(placed.join(mixed.where(F.col("size") <= SHORT), "key", "left_semi"), signed, percent, coordinates, min(matches, FLOOR * coordinates // COORDINATES))
     rest = placed.join(mixed.where(F.col("size") > SHORT), "key", "left_semi").select("id", "component").distinct()
-    rest = settle(rest.join(signed.select("id", "doc_id", "th"), "id"), "rest")
+    rest = settle(rest.join(_named(signed), "id"), "rest")
     late = settle(short.unionByName(_long_lists(rest, docs, words_each, percent)).distinct(), "late")
     discard(placed, mixed, rest)
     return late
