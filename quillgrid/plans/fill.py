@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgrid.functions.labels import OTHER_PARTY, SELF_PARTIES, alias_table, nfc, normalise_label
+from quillgrid.functions.writing import apply_edits, blank_edits, part_values
 
 # How specific a name of a blank is, and what an alias costs.
 ID, KEY, FULL, INNER, ALIAS = 100, 90, 80, 50, 5
@@ -173,3 +174,32 @@ def slot_keys(slots: DataFrame, form: list[str] | None = None) -> DataFrame:
     named = slots.withColumn("k", F.when(twice & (F.col("group") != ""), F.concat_ws(".", "group", "label")).otherwise(F.col("label")))
     named = named.withColumns({"n": F.row_number().over(alike("k").orderBy("slot_ord")), "all": F.count(F.lit(1)).over(alike("k"))})
     return named.select(*form, "slot_ord", F.when(F.col("all") > 1, F.concat("k", F.lit("@"), F.col("n").cast("string"))).otherwise(F.col("k")).alias("key"))
+
+
+def fill_apply(plan: DataFrame, blanks: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(form_id, rec_id, p, text, filled, failed): a plan written into the paragraphs of each record's form.
+
+    ``blanks`` has (form_id, slot_key, p, kind, label, parts array<struct<role, start, end, align, prefix>>), ``paragraphs`` (form_id, p, text).
+    Paragraphs that hold a planned blank come out, one row for each record, with all of it written at once: edits
+    of its blanks are sorted from the last place to the first, so none moves another. ``filled`` has the keys of
+    blanks written, ``failed`` those whose value does not suit their parts (a date for a blank in year, month and day
+    that is none) or whose places lie outside the text; a paragraph where all fail keeps its text. Of blanks that
+    overlap the later one fails. Forms are broadcast when counted small; records only meet them.
+    """
+    n = F.char_length("text")
+    at = blanks.join(paragraphs, ["form_id", "p"]).withColumn("_in", F.forall("parts", lambda x: (x["start"] >= 0) & (x["start"] <= x["end"]) & (x["end"] <= n)))
+    want = plan.join(_small(at), ["form_id", "slot_key"])
+    values = part_values(F.col("kind"), F.col("parts"), F.col("value"), F.col("label"))
+    edits = F.when(F.col("_in") & values.isNotNull(), blank_edits(F.col("text"), F.col("parts"), values))
+    first, last = F.array_min(F.transform("parts", lambda x: x["start"])), F.array_max(F.transform("parts", lambda x: x["end"]))
+    each = F.struct(first.cast("int").alias("start"), last.cast("int").alias("end"), "slot_key", edits.alias("edits"))
+    each = want.select("form_id", "rec_id", "p", F.col("text").alias("_text"), each.alias("_each"))
+    rows = each.groupBy("form_id", "rec_id", "p").agg(F.first("_text").alias("text"), F.array_sort(F.collect_list("_each")).alias("_w"))
+    # A paragraph's blanks are few: their extents are settled inside the row.
+    taken = lambda i: F.exists(F.slice("_w", 1, i), lambda b: b["edits"].isNotNull() & (b["end"] > F.get("_w", i)["start"]))
+    told = F.transform("_w", lambda b, i: F.struct(b["slot_key"].alias("slot_key"), F.when(~taken(i), b["edits"]).alias("edits")))
+    rows = rows.withColumn("_w", told)
+    done = F.filter("_w", lambda b: b["edits"].isNotNull())
+    every = F.reverse(F.array_sort(F.flatten(F.transform(done, lambda b: b["edits"]))))
+    keys = lambda a: F.transform(a, lambda b: b["slot_key"])
+    return rows.select("form_id", "rec_id", "p", apply_edits(F.col("text"), every).alias("text"), keys(done).alias("filled"), keys(F.filter("_w", lambda b: b["edits"].isNull())).alias("failed"))
