@@ -10,6 +10,7 @@ from quillgrid.operators import constraints as K
 from quillgrid.operators import dictionaries as D
 from quillgrid.plans import fill as P
 from quillgrid.plans.queries import _MATCH_SQL, SLOTS, customer_records, query, table
+from quillgrid.plans.slotnames import names_of
 from quillgrid.sources import files as X
 
 # ---- plans written into paragraphs --------------------------------------------------------
@@ -45,7 +46,8 @@ SELECT form_id, rec_id, p, string_agg(key || '[' || inner_text || ']', '' ORDER
 def fill_apply(spark, sf_dir):
     """Every customer's record written into the paragraphs of every form that asks for something of it."""
     records = customer_records(spark, sf_dir)
-    plan = P.fill_plan(records, P.matches_of(records, P.names_table(spark, SLOTS)))
+    slots = spark.createDataFrame([(s.form_id, s.slot_ord, s.id, list(s.labels), s.key, s.index, s.group) for s in SLOTS], "form_id string, slot_ord int, id string, labels array<string>, key string, index int, group string")
+    plan = P.fill_plan(records, P.matches_of(records, names_of(slots)))
     got = P.fill_apply(plan, *_forms(spark))
     return got.select("form_id", "rec_id", "p", "text", F.array_join("filled", ",").alias("filled"), F.array_join("failed", ",").alias("failed"))
 
