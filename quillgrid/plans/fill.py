@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgrid.functions.labels import OTHER_PARTY, SELF_PARTIES, alias_table, nfc, normalise_label
-from quillgrid.functions.writing import apply_edits, blank_edits, part_values
+from quillgrid.functions.writing import apply_edits, blank_edits, bound, part_values
 
 # How specific a name of a blank is, and what an alias costs.
 ID, KEY, FULL, INNER, ALIAS = 100, 90, 80, 50, 5
@@ -190,7 +190,7 @@ def fill_apply(plan: DataFrame, blanks: DataFrame, paragraphs: DataFrame) -> Dat
     at = blanks.join(paragraphs, ["form_id", "p"]).withColumn("_in", F.forall("parts", lambda x: (x["start"] >= 0) & (x["start"] <= x["end"]) & (x["end"] <= n)))
     want = plan.join(_small(at), ["form_id", "slot_key"])
     values = part_values(F.col("kind"), F.col("parts"), F.col("value"), F.col("label"))
-    edits = F.when(F.col("_in") & values.isNotNull(), blank_edits(F.col("text"), F.col("parts"), values))
+    edits = bound(values, lambda v: F.when(F.col("_in") & v.isNotNull(), blank_edits(F.col("text"), F.col("parts"), v)))
     first, last = F.array_min(F.transform("parts", lambda x: x["start"])), F.array_max(F.transform("parts", lambda x: x["end"]))
     each = F.struct(first.cast("int").alias("start"), last.cast("int").alias("end"), "slot_key", edits.alias("edits"))
     each = want.select("form_id", "rec_id", "p", F.col("text").alias("_text"), each.alias("_each"))
