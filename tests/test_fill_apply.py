@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillgrid.functions.writing import bound
 from quillgrid.plans import fill as P
 
 PART = "struct<role:string,start:int,end:int,align:string,prefix:string>"
@@ -42,3 +43,12 @@ def test_what_does_not_suit_fails_and_the_rest_is_written(spark):
     assert got["f", 3, 0] == (text, [], ["out"])
     assert got["f", 4, 0][1:] == (["by"], ["same"])
     assert _applied(spark, [], blanks, [("f", 0, text)]) == {}
+
+
+def test_bound_is_the_plain_expression(spark):
+    """Null, empty and repeated values; within a lambda, and one bound value inside another."""
+    rows = spark.createDataFrame([(1, ["a", None, "", "a"]), (2, []), (3, None)], "id int, v array<string>")
+    wide = lambda x: F.concat(x, F.lit("|"), x, F.char_length(x).cast("string"))
+    twice = lambda x: bound(wide(x), wide)
+    got = rows.select("id", F.transform("v", twice).alias("a"), F.transform("v", lambda x: wide(wide(x))).alias("b")).orderBy("id").collect()
+    assert [r.a for r in got] == [r.b for r in got] == [["a|a1|a|a14", None, "|0||02", "a|a1|a|a14"], [], None]
