@@ -21,12 +21,12 @@ context adds to the log probability of any symbol over its suffix's, log10(F / t
 what it adds besides for a symbol of its own. Along the suffixes of a place these sum
 to the score in the longest retained one, so places need no order.
 
-A text adds up its tokens' scores. Nothing is gathered before it was counted. Of words and
-of pairs of a context and a symbol the most frequent ones (at most WORDS and PAIRS, down to a
-count that a histogram tells) are broadcast and added in place; the rest is asked for by
-key and joined. A bit map of at most 2**BITS bits leaves out most of the pairs that are
-not in the tree. Contexts are broadcast if they are at most HELD; beyond it, they and all
-pairs are joined. Words and contexts are told apart by 64-bit hashes.
+A text adds up its tokens' scores. Nothing is gathered before it was counted. Of words,
+of contexts and of pairs of a context and a symbol the most frequent ones (at most WORDS, HELD
+and PAIRS, down to a count that a histogram tells) are broadcast and added in place; the rest
+is asked for by key and joined. Bit maps of at most 2**BITS bits leave out most of the contexts
+and pairs that are not in the tree, and, while it is grown, of the pairs that follow no candidate
+where these are more than HELD. Words and contexts are told apart by 64-bit hashes.
 
 Defined results: null and blank texts have one token, the end; the words of rows held
 out are scored like any others; rows alike in doc_id and text are scored each; a null
@@ -50,10 +50,12 @@ from quillgrid.llm.scratch import discard, release, settle, small
 ORDER, LEAST, GAIN, OWN, SHARE = 3, 32, 8.0, 2.0, 0.001
 #: Contexts (24 bytes each) that are broadcast at most; more are joined.
 HELD = 1 << 20
+#: Pairs that a task counts at once, and tokens for each part of the shuffle of pairs.
+FLUSH = 1 << 20
 #: Words, and pairs of a context and a symbol, that are broadcast at most.
 WORDS, PAIRS = 1 << 19, 1 << 19
-#: Bits of the map of pairs that are joined, as a power of two, at most.
-BITS = 27
+#: Bits of a map of contexts or pairs that are joined, as a power of two, at most.
+BITS = 29
 #: Hashes that stand for the start and the end of a text.
 START_WORD, END_WORD = 0x51A27C0DE5EED001, 0x51A27C0DE5EED002
 END = np.uint64(END_WORD).astype(np.int64).item()
@@ -123,43 +125,106 @@ def gathered(rows: DataFrame) -> K.Table:
     return K.Table(*(got.column(i).to_numpy() for i in range(got.num_columns)))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then the next ones, and so on: what small or sorted numbers have alike stands together, where a shuffle's compression finds it."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(data: pa.Scalar, n: int) -> np.ndarray:
+    got = np.frombuffer(data.as_buffer(), np.uint8)
+    return np.ascontiguousarray(got.reshape(-1, n).T).view(f"i{len(got) // n}").ravel().astype(np.int64)
+
+
+def summed(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key stands first, and the sum of its counts."""
+    order = np.argsort(key)
+    ranked = key[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), ranked[1:] != ranked[:-1]]))
+    return order[head], np.add.reduceat(c[order], head) if len(head) else c[:0]
+
+
+def dealt(at: np.ndarray, w: np.ndarray, word: np.ndarray, c: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counted pairs of a context and a symbol (its hash ``w``, its place ``word`` among frequent words or -1) in ``parts`` by key, a row of bytes for each part and kind."""
+    part = (fold(at.view(np.uint64), w) % np.uint64(parts)).astype(np.int64)
+    for often in (True, False):
+        here = np.flatnonzero((word >= 0) == often)
+        here = here[np.lexsort((at[here], part[here]))]
+        symbols = word[here].astype(np.int32) if often else w[here].view(np.int64)
+        columns = [at[here], symbols, c[here].astype(np.int32)]
+        if here.size and 0 <= columns[0].min() and columns[0].max() < 1 << 31:
+            columns[0] = columns[0].astype(np.int32)
+        bounds = np.searchsorted(part[here], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(bounds))
+        data = [pa.array([planes(x[bounds[i] : bounds[i + 1]]) for i in some], pa.binary()) for x in columns]
+        yield pa.record_batch([pa.array(some), pa.array(np.full(len(some), often)), pa.array(np.diff(bounds)[some]), *data], names=["part", "often", "n", "at", "w", "c"])
+
+
 def followers(rows: DataFrame, contexts: DataFrame, d: int, words: K.Table, part: float, held: int) -> DataFrame:
     """Symbols seen twice or more after each of ``contexts`` (context, t, chain, u1, ...) of d words, over whole training texts.
 
     (context, w, c, t, chain, root, longer, u1, ...): root is log10 of the root's P(w), null for a word that is not in ``words``,
     longer the key of context and symbol, u1, u2, ... those of its suffixes, the longest first. Symbols that can neither be the
-    context's own nor end a longer context are left out.
+    context's own nor end a longer context are left out. Pairs are counted for FLUSH of them at once, then shuffled
+    in parts that grow in number with the corpus, not in size, and counted there.
     """
     few = contexts.limit(held + 1).count() <= held
     table = gathered(contexts) if few else None
-    send = rows.sparkSession.sparkContext.broadcast((table, words))
+    met = None if few else BitMap(contexts.select(F.col("context").alias("key")), contexts.count(), BITS)
+    send = rows.sparkSession.sparkContext.broadcast((table, words, met))
     shorter = [f"u{k}" for k in range(1, d)]
     names = ["context", "w", "c", "t", "chain", "root", "longer", *(f"u{k}" for k in range(1, d + 1))]
+    parts = int(part) // FLUSH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = send.value
+        table, words, met = send.value
         fewest = words.values[0].min(initial=np.iinfo(np.int64).max)  # other words are at most as frequent
+        most = np.append(words.values[0], fewest)
+        kept: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            told, w, word = (np.concatenate(x) for x in zip(*kept))
+            kept.clear()
+            first, c = counted(fold(told.view(np.uint64), w))
+            yield from dealt(told[first], w[first], word[first], c, parts)
+
         for batch in slices(batches):
             seq, _, place = sequences(batch.column(0))
             *_, key = folds(seq, d)
             at = np.flatnonzero(place >= d)
             context, w = key[at - 1], seq[at]
-            told = context.view(np.int64)
+            word = words.find(w)
             if table is not None:  # contexts travel as their places in the table, which pack better
                 told = table.find(context)
-                here = told >= 0
-                context, w, told = context[here], w[here], told[here]
                 # A pair is seen as often as its symbol at most: too rarely to be the context's own, or to be a context?
-                word = words.find(w)
-                most = np.append(words.values[0], fewest)[word]
-                here = (most >= LEAST) | (most >= SHARE * table.values[0][told])
-                context, w, told = context[here], w[here], told[here]
-            first, c = counted(fold(context, w))
-            yield pa.record_batch([pa.array(told[first]), pa.array(w[first].view(np.int64)), pa.array(c)], names=["at", "w", "c"])
+                here = (told >= 0) & ((most[word] >= LEAST) | (most[word] >= SHARE * np.append(table.values[0], 0)[told]))
+            else:
+                told = context.view(np.int64)
+                here = met.may(context)
+            kept.append((told[here], w[here], word[here]))
+            if sum(len(x[0]) for x in kept) >= FLUSH:
+                yield from flush()
+        if kept:
+            yield from flush()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, words, _ = send.value
+        got: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for often, n, *data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), *batch.columns[3:]):
+                at, w, c = (from_planes(x, n) for x in data)
+                got.append((at, words.keys[w].view(np.int64) if often else w, c))
+        if got:
+            at, w, c = (np.concatenate(x) for x in zip(*got))
+            got.clear()
+            first, c = summed(fold(at.view(np.uint64), w.view(np.uint64)), c)
+            first, c = first[c > 1], c[c > 1]
+            at, w = at[first], w[first]
+            for i in range(0, len(at), 1 << 16):
+                yield pa.record_batch([pa.array(x[i : i + (1 << 16)]) for x in (at, w, c)], names=["at", "w", "c"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = send.value
-        for batch in batches:
+        table, words, _ = send.value
+        for batch in merged(batches) if table is not None else batches:
             at, w, c, *more = (x.to_numpy() for x in batch.columns)
             if table is not None:
                 at, more = table.keys[at].view(np.int64), [x[at] for x in table.values]
@@ -175,16 +240,16 @@ def followers(rows: DataFrame, contexts: DataFrame, d: int, words: K.Table, part
             out = [pa.array(x) for x in (at, w, c, t, chain)] + [pa.array(root, from_pandas=True)] + [pa.array(x) for x in keys]
             yield pa.record_batch([x.filter(pa.array(keep)) for x in out], names=names)
 
-    got = rows.where("train").select("text").mapInArrow(run, "at bigint, w bigint, c bigint")
-    got = got.groupBy("at", "w").agg(F.sum("c").alias("c")).where("c > 1")
+    got = rows.where("train").select("text").mapInArrow(run, "part bigint, often boolean, n bigint, at binary, w binary, c binary").repartition(parts, "part")
     if not few:
+        got = got.mapInArrow(merged, "at bigint, w bigint, c bigint")
         got = got.join(contexts.withColumnRenamed("context", "at"), "at").select("at", "w", "c", "t", "chain", *shorter)
     kinds = {"chain": "double", "root": "double"}
     return got.mapInArrow(keyed, ", ".join(f"{x} {kinds.get(x, 'bigint')}" for x in names))
 
 
 def train(rows: DataFrame, vocabulary: DataFrame, words: K.Table, part: float, held: int = HELD) -> tuple[DataFrame, DataFrame]:
-    """The tree of ``rows`` (text, train), two settled tables: (key, delta) of contexts, (key, delta, c) of pairs seen c times.
+    """The tree of ``rows`` (text, train), two settled tables: (key, delta, c) of contexts and of pairs seen c times.
 
     ``vocabulary`` (h, c) has the training counts of words and the end, ``words`` those of frequent ones, ``part`` is N + 0.1 (V + 1).
     """
@@ -218,11 +283,11 @@ def train(rows: DataFrame, vocabulary: DataFrame, words: K.Table, part: float, h
         gain = own.join(small(facts), "context").groupBy("context").agg(F.sum(F.col("c") * F.log((F.col("c") - 2 + F.col("f") * b) / ((F.col("t") - 1) * b))).alias("gain"))
         others = F.when(F.col("others") > 0, F.col("others") * F.log((F.col("f") - 1) / (F.col("seen") - 1))).otherwise(0.0)
         kept = facts.join(gain, "context").where(F.col("gain") + others >= GAIN)
-        kept = settle(kept.select("context", "f", F.log10(F.col("f") / F.col("seen")).alias("back")), "kept")
+        kept = settle(kept.select("context", "f", "seen", F.log10(F.col("f") / F.col("seen")).alias("back")), "kept")
         p = F.log10((F.col("c") - 1 + F.col("f") * b) / F.col("t"))
-        new = own.join(small(kept), "context").select(F.col("longer").alias("key"), (p - F.col("below") - F.col("back")).alias("delta"), "c")
+        new = own.join(small(kept.drop("seen")), "context").select(F.col("longer").alias("key"), (p - F.col("below") - F.col("back")).alias("delta"), "c")
         pairs.append(settle(new, "pairs"))
-        states.append(kept.select(F.col("context").alias("key"), F.col("back").alias("delta")))
+        states.append(kept.select(F.col("context").alias("key"), F.col("back").alias("delta"), F.col("seen").alias("c")))
         # The next contexts, with what their suffixes add for any symbol.
         longer = found.where((F.col("w") != END) & (F.col("c") >= LEAST)).select(F.col("longer").alias("context"), F.col("c").alias("t"), *(f"u{k}" for k in range(1, d + 1)))
         chains = contexts.select(F.col("context").alias("u1"), "chain").join(kept.select(F.col("context").alias("u1"), "back"), "u1", "left").select("u1", (F.col("chain") + F.coalesce("back", F.lit(0.0))).alias("chain"))
@@ -254,16 +319,21 @@ class BitMap:
         return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def followed(seq: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int, contexts: K.Table, pairs: K.Table, late: BitMap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What contexts add to each text's log10 probability, as far as ``pairs`` goes; rows and keys of the pairs to be asked for."""
+def followed(seq: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int, contexts: K.Table, pairs: K.Table, rare: BitMap, late: BitMap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What contexts add to each text's log10 probability, as far as ``contexts`` and ``pairs`` go; rows and keys of the contexts and pairs to be asked for."""
     out, asking, asked = np.zeros(rows), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for d, key in enumerate(folds(seq, ORDER) if len(contexts) else (), 1):
+    for d, key in enumerate(folds(seq, ORDER), 1):
         at = np.flatnonzero(place >= d)
-        i = contexts.find(key[at - 1])
-        at, i = at[i >= 0], i[i >= 0]
+        before = key[at - 1]
+        i = contexts.find(before)
+        more = (i < 0) & rare.may(before)
+        asking.append(row[at[more]])
+        asked.append(before[more])
+        out += np.bincount(row[at[i >= 0]], contexts.values[0][i[i >= 0]], rows)
+        at = at[more | (i >= 0)]
         pair = fold(key[at - 1], seq[at])
         j = pairs.find(pair)
-        out += np.bincount(row[at], contexts.values[0][i], rows) + np.bincount(row[at[j >= 0]], pairs.values[0][j[j >= 0]], rows)
+        out += np.bincount(row[at[j >= 0]], pairs.values[0][j[j >= 0]], rows)
         rest = np.flatnonzero(j < 0)
         rest = rest[late.may(pair[rest])]
         asking.append(row[at[rest]])
@@ -271,22 +341,6 @@ def followed(seq: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int, con
     return out, np.concatenate(asking), np.concatenate(asked)
 
 
-def following(rows: DataFrame, tree: DataFrame) -> DataFrame:
-    """(k1, k2, copies, more): the same sums where the tree is joined by key; ``rows`` has (k1, k2, text), and copies of a text are summed together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            seq, row, place = sequences(batch.column(2))
-            for d, key in enumerate(folds(seq, ORDER), 1):
-                at = np.flatnonzero(place >= d)
-                whose = pa.array(row[at])
-                for asked, symbol in ((key[at - 1], 0), (fold(key[at - 1], seq[at]), 1)):
-                    yield pa.record_batch([batch.column(0).take(whose), batch.column(1).take(whose), pa.array(asked.view(np.int64)), pa.array(np.full(len(at), symbol, np.int32))], names=["k1", "k2", "key", "symbol"])
-
-    asked = rows.mapInArrow(run, "k1 bigint, k2 bigint, key bigint, symbol int").groupBy("k1", "k2", "key", "symbol").agg(F.count(F.lit(1)).alias("m"))
-    return asked.join(tree, ["key", "symbol"]).groupBy("k1", "k2").agg(F.sum(F.col("m") * F.col("delta")).alias("more"))
-
-
 def divided(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``table`` with the largest c, ``most`` at most, and the rest: divided at a count that a histogram of the counts' logarithms tells."""
     steps = 16  # to a doubling
@@ -314,20 +368,20 @@ def score(docs: DataFrame, words: int = WORDS, pairs: int = PAIRS, held: int = H
     often, rare_words = divided(vocabulary, words)
     often = gathered(often)
     states, tree = train(rows, vocabulary, often, part, held)
-    few = states.limit(held + 1).count() <= held
-    told, seldom = divided(tree, pairs if few else 0)
-    late = BitMap(seldom, seldom.count() if few else 0, BITS if few else 6)
-    send = spark.sparkContext.broadcast((often, gathered(states if few else states.limit(0)), gathered(told.select("key", "delta")), late))
+    near, far = divided(states, held)
+    told, seldom = divided(tree, pairs)
+    rare, late = (BitMap(x, x.count(), BITS) for x in (far, seldom))
+    send = spark.sparkContext.broadcast((often, gathered(near.select("key", "delta")), gathered(told.select("key", "delta")), rare, late))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, contexts, pairs, late = send.value
+        words, contexts, pairs, rare, late = send.value
         base = np.append(np.log10((words.values[0] + 0.1) / part), np.log10(0.1 / part))  # the last: not met
         for batch in slices(batches):
             size = len(batch)
             seq, row, place = sequences(batch.column(1))
             token, owner = seq[place > 0], row[place > 0]
             at = words.find(token)
-            more, asking, asked = followed(seq, row, place, size, contexts, pairs, late)
+            more, asking, asked = followed(seq, row, place, size, contexts, pairs, rare, late)
             asking, asked = np.concatenate([owner[at < 0], asking]), np.concatenate([token[at < 0], asked])
             pick, m = counted(K.splitmix(asked ^ K.splitmix(asking.astype(np.uint64))))
             order = np.argsort(asking[pick], kind="stable")
@@ -336,29 +390,21 @@ def score(docs: DataFrame, words: int = WORDS, pairs: int = PAIRS, held: int = H
             open_ = pa.StructArray.from_arrays([pa.array(asked[pick].view(np.int64)), pa.array(m.astype(np.int32))], names=["key", "m"])
             tokens, known = (np.bincount(x, minlength=size) for x in (owner, owner[at >= 0]))
             sums = np.bincount(owner, base[at], size)
-            yield pa.record_batch([batch.column(0), batch.column(2), *map(pa.array, (tokens, known, sums, more)), pa.ListArray.from_arrays(bounds, open_), *batch.columns[3:]], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(2), *map(pa.array, (tokens, known, sums, more)), pa.ListArray.from_arrays(bounds, open_)], names=names)
 
-    names = ["doc_id", "train", "n_tokens", "known", "base", "more", "open", "k1", "k2"]
+    names = ["doc_id", "train", "n_tokens", "known", "base", "more", "open"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # Copies of a text are told apart from other texts by 128 bits, where the tree is joined whole.
-    k1, k2 = (F.lit(0).cast("bigint"),) * 2 if few else (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
-    asked = rows.select("doc_id", "text", "train", k1.alias("k1"), k2.alias("k2"))
-    parts = asked.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, more double, open array<struct<key:bigint,m:int>>, k1 bigint, k2 bigint")
+    asked = rows.select("doc_id", "text", "train")
+    parts = asked.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, more double, open array<struct<key:bigint,m:int>>")
     parts = settle(parts.withColumn("r", F.monotonically_increasing_id()), "parts")
     release(spark)
-    # Rare words and rare pairs, one join: what each adds, and whether it is a word.
+    # Rare words, contexts and pairs, one join: what each adds, and whether it is a word.
     adds = rare_words.select(F.col("h").alias("key"), F.log10((F.col("c") + 0.1) / 0.1).alias("delta"), F.lit(1).alias("word"))
-    if few:
-        adds = adds.unionByName(seldom.select("key", "delta", F.lit(0).alias("word")))
+    adds = adds.unionByName(seldom.unionByName(far).select("key", "delta", F.lit(0).alias("word")))
     open_ = parts.select("r", F.explode("open").alias("x")).select("r", F.col("x.key").alias("key"), F.col("x.m").alias("m")).join(adds, "key")
     add = F.col("m") * F.col("delta")
     met = open_.groupBy("r").agg(F.sum(F.col("m") * F.col("word")).alias("met"), F.sum(add * F.col("word")).alias("word_adds"), F.sum(add * (1 - F.col("word"))).alias("pair_adds"))
     out = parts.drop("open").join(met, "r", "left")
     added = lambda c: F.coalesce(c, F.lit(0))
-    out = out.select("doc_id", "train", "k1", "k2", "n_tokens", (F.col("known") + added("met")).alias("n_known"), (F.col("base") + added("word_adds")).alias("base_score"), (F.col("more") + added("pair_adds")).alias("more"))
-    if not few:
-        tree = states.withColumn("symbol", F.lit(0)).unionByName(tree.select("key", "delta", F.lit(1).alias("symbol")))
-        copies = parts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-        more = following(asked.select("k1", "k2", "text"), tree).join(copies, ["k1", "k2"]).select("k1", "k2", (F.col("more") / F.col("copies")).alias("late"))
-        out = out.join(more, ["k1", "k2"], "left").withColumn("more", F.coalesce("late", F.lit(0.0)))
+    out = out.select("doc_id", "train", "n_tokens", (F.col("known") + added("met")).alias("n_known"), (F.col("base") + added("word_adds")).alias("base_score"), (F.col("more") + added("pair_adds")).alias("more"))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))

@@ -108,3 +108,28 @@ def test_no_training_rows_and_no_rows(spark):
     (r,) = S.score(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
     assert S.score(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_pairs_as_bytes_are_summed_over_tasks():
+    at, w, word = np.array([5, 1 << 40, 5, 7]), np.array([11, 12, 11, 13], np.uint64), np.array([2, -1, 2, -1])
+    got = {}
+    for batch in S.dealt(at, w, word, np.array([3, 1, 4, 2]), 4):
+        for part, often, n, *data in zip(*(batch.column(i).to_pylist() for i in range(3)), *batch.columns[3:]):
+            for a, s, c in zip(*(S.from_planes(x, n) for x in data)):
+                got.setdefault((part, often, int(a), int(s)), []).append(int(c))
+    assert {k[1:]: sorted(v) for k, v in got.items()} == {(True, 5, 2): [3, 4], (False, 1 << 40, 12): [1], (False, 7, 13): [2]}
+    first, c = S.summed(np.array([9, 8, 9]), np.array([1, 2, 5]))
+    assert list(c) == [2, 6] and list(first) == [1, 0]
+
+
+def test_more_contexts_than_are_held_do_not_shuffle_every_token(spark):
+    docs = spark.createDataFrame([(i, f"{t} n{i}") for i, (_, t) in enumerate(rows_of() * 10)], "doc_id bigint, text string").repartition(2)
+
+    def shuffled(held):
+        store = spark.sparkContext._jsc.sc().statusStore()
+        total = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+        before = total()
+        S.score(docs, held=held).write.format("noop").mode("overwrite").save()
+        return total() - before
+
+    assert shuffled(4) < 3 * shuffled(S.HELD)
