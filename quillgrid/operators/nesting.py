@@ -4,14 +4,16 @@ Three ways are used. Where marks of one kind pair, depths are prefix sums and pa
 depth: two windows over the same partitioning, one shuffle. Where a mark's effect depends on all that is open (levels,
 tags that end others), rows are partitioned by their keys, sorted, and one pass keeps the open
 ones in a stack, however long a key's run is. Where trees are given by parents, pointers
-double: a chain of n steps takes log2(n) joins.
+double: within a task for keys of few rows, by joins for the others, of which a chain of n steps takes log2(n).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,30 +131,81 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def level_parents(df: DataFrame, keys: Sequence[str], order: str, level: str) -> DataFrame:
-    """df with ``parent``: the ``order`` of the nearest earlier row of the key with a smaller level, whatever the levels.
+def _new_keys(columns: Sequence[pa.Array]) -> np.ndarray:
+    """Whether each row's key differs from the one before; nulls are alike, the first row is new."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        a, b = c[1:], c[:-1]
+        if pa.types.is_nested(c.type):
+            new[1:] |= np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+        else:
+            apart = pc.fill_null(pc.not_equal(a, b), False)
+            new[1:] |= pc.or_(apart, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return new
+
 
-    Rows without a level have no parent and are nobody's.
+def _earlier_smaller(levels: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The nearest earlier place of the same run with a smaller level, -1 where none; runs begin where ``new``.
+
+    Minima of 2, 4, 8... neighbours tell how far back all levels are not smaller, by halving steps.
     """
-    rest = [c for c in df.columns if c not in (*keys, order, level)]
+    n = len(levels)
+    places = np.arange(n)
+    first = np.maximum.accumulate(np.where(new, places, 0))
+    least, width, longest = [levels], 1, int((places - first).max(initial=0)) + 1
+    while width * 2 <= longest:
+        least.append(np.minimum(least[-1][:-width], least[-1][width:]))
+        width *= 2
+    at = places
+    for m in reversed(least):
+        to = at - width
+        ok = np.nonzero(to >= first)[0]
+        ok = ok[m[to[ok]] >= levels[ok]]
+        at = at.copy()
+        at[ok] = to[ok]
+        width //= 2
+    return np.where(at > first, at - 1, -1)
 
-    def start() -> tuple[Callable, Callable]:
-        open_: list[tuple[object, int]] = []
 
-        def step(at: object, depth: int | None, *others: object) -> list[tuple]:
-            if depth is None:
-                return [(at, depth, *others, None)]
-            while open_ and open_[-1][1] >= depth:
-                open_.pop()
-            parent = open_[-1][0] if open_ else None
-            open_.append((at, depth))
-            return [(at, depth, *others, parent)]
+def level_parents(df: DataFrame, keys: Sequence[str], order: str, level: str) -> DataFrame:
+    """df with ``parent``: the ``order`` of the nearest earlier row of the key with a smaller level, whatever the levels.
 
-        return step, tuple
+    Levels are whole numbers. Rows without a level have no parent and are nobody's. The result's partitions hold their keys whole, one after the other.
+    """
+    keys = list(keys)
+    n_keys = len(keys)
+    fields = [df.schema[c] for c in (*keys, order, level, *(c for c in df.columns if c not in (*keys, order, level)))]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("parent", df.schema[order].dataType)])
 
-    fields = [df.schema[c] for c in (*keys, order, level, *rest)] + [T.StructField("parent", df.schema[order].dataType)]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    return sorted_pass(df, keys, [order], [order, level, *rest], start, schema).select(*df.columns, "parent")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of the last key that may yet be a parent: of rising levels, the last of each.
+        open_: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            with_level = pc.indices_nonzero(batch.column(n_keys + 1).is_valid())
+            held = batch.select(range(n_keys + 2)).take(with_level)
+            met = pa.Table.from_batches([held]) if open_ is None else pa.concat_tables([open_, pa.Table.from_batches([held])])
+            met = met.combine_chunks()
+            columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in met.columns]
+            before = len(met) - len(held)
+            parent = pa.nulls(batch.num_rows, batch.column(n_keys).type)
+            if len(met):
+                new, levels = _new_keys(columns[:n_keys]), columns[n_keys + 1].to_numpy(zero_copy_only=False)
+                up = _earlier_smaller(levels, new)[before:]
+                full = np.full(batch.num_rows, -1)
+                full[with_level.to_numpy(zero_copy_only=False)] = up
+                parent = columns[n_keys].take(pa.array(full, mask=full < 0))
+                last = int(np.nonzero(new)[0][-1])
+                tail = levels[last:]
+                after = np.minimum.accumulate(tail[::-1])[::-1]
+                open_ = met.take(last + np.nonzero(np.append(tail[:-1] < after[1:], True))[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, parent], names=schema.names)
+
+    met = df.repartition(*keys).sortWithinPartitions(*keys, order).select(*(f.name for f in fields))
+    return met.mapInArrow(run, schema).select(*df.columns, "parent")
 
 
 #: Tags that make a tree; all others are content. Fixed values.
@@ -227,14 +280,120 @@ def markup_tree(tokens: DataFrame, keys: Sequence[str], end: str | None = None)
 # ---- trees by parents ---------------------------------------------------------------------
 
 
-def climbed(tree: DataFrame, keys: Sequence[str], node: str = "node", parent: str = "parent", kind: Column | None = None, paths: bool = False) -> DataFrame:
+#: Keys of at most this many rows are climbed within a task; a batch's paths then hold at most half as many nodes a row.
+TOGETHER = 1024
+
+
+def climbed(tree: DataFrame, keys: Sequence[str], node: str = "node", parent: str = "parent", kind: Column | None = None, paths: bool = False, together: int = TOGETHER, grouped: bool = False) -> DataFrame:
     """``tree`` with ``depth`` (0 at a root) and ``root``; with ``nearest``, the nearest proper ancestor for which ``kind`` holds; with ``path``, the nodes from the root to the row's own.
 
-    Pointer doubling: each round joins what a row has climbed with what the row it has come to has climbed, so a
-    chain of n takes log2(n) + 1 rounds; rows that have passed their root leave the joins. A parent
+    Pointers double: each round adds to what a row has climbed what the row it has come to has climbed. Keys of at most ``together`` rows
+    are climbed in one pass over partitions sorted by key (``grouped``: each partition of ``tree`` already holds its keys whole, one after the
+    other, as ``level_parents`` gives them), larger ones by joins, log2(n) + 1 rounds for a chain of n. A parent
     that is no node counts as none. In a cycle depth, root, nearest and path are null.
     """
     keys = list(keys)
+    kinds = tree.schema[node].dataType, tree.schema[parent].dataType
+    if not together or kinds[0] != kinds[1] or not (isinstance(kinds[0], T.IntegralType) or kinds[0] == T.StringType()):
+        return _climbed_by_joins(tree, keys, node, parent, kind, paths)
+    more = ["depth", "root", *(["nearest"] if kind is not None else []), *(["path"] if paths else [])]
+    types = {"depth": T.LongType(), "root": kinds[0], "nearest": kinds[0], "path": T.ArrayType(kinds[0])}
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in tree.schema.fields] + [T.StructField(c, types[c]) for c in more] + [T.StructField("_done", T.BooleanType())])
+    arrow = {c: _arrow(types[c]) for c in more}
+    columns = tree.columns
+    at = [columns.index(k) for k in keys], columns.index(node), columns.index(parent)
+
+    def climb(rows: pa.Table, whole: bool) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        cells = [c.chunk(0) for c in rows.columns]
+        if whole:
+            got = _climbed_in_memory([cells[i] for i in at[0]], cells[at[1]], cells[at[2]], cells[-1].to_numpy(zero_copy_only=False), paths, together)
+        else:
+            got = {c: pa.nulls(len(rows), arrow[c]) for c in more} | {"_done": pa.array(np.zeros(len(rows), bool))}
+        return pa.RecordBatch.from_arrays([*cells[:-1], *(got[c].cast(arrow[c]) for c in more), got["_done"]], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # held: rows of the last key so far, kept until it ends or proves to be large.
+        held, large = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts = np.nonzero(_new_keys([rows.column(i).combine_chunks() if rows.column(i).num_chunks == 1 else pa.concat_arrays(rows.column(i).chunks) for i in at[0]]))[0]
+            # Of a large key one row stays, by which its next rows are known.
+            begin = 0
+            if large:
+                end = int(starts[1]) if len(starts) > 1 else len(rows) - 1
+                yield from [climb(rows.slice(0, end), False)] if end else []
+                large, begin = len(starts) == 1, end
+            if large:
+                held = rows.slice(begin)
+                continue
+            last = max(int(starts[-1]), begin)
+            if last > begin:
+                yield climb(rows.slice(begin, last - begin), True)
+            held = rows.slice(last)
+            if len(held) > together:
+                yield climb(held.slice(0, len(held) - 1), False)
+                held, large = held.slice(len(held) - 1), True
+        if held is not None:
+            yield climb(held, not large)
+
+    holds = F.coalesce(kind, F.lit(False)) if kind is not None else F.lit(False)
+    met = tree.select(*columns, holds.alias("_k"))
+    met = met if grouped else met.repartition(*keys).sortWithinPartitions(*keys)
+    passed = written(met.mapInArrow(run, schema), "climbed")
+    left = passed.where("not _done").select(*columns)
+    done = passed.where("_done").drop("_done")
+    return done if left.isEmpty() else done.unionByName(_climbed_by_joins(left, keys, node, parent, kind, paths))
+
+
+def _climbed_in_memory(keys: list[pa.Array], node: pa.Array, parent: pa.Array, kind: np.ndarray, paths: bool, most: int) -> dict[str, pa.Array]:
+    """depth, root, nearest, path of rows whose keys stand one after the other; ``_done`` is false for keys of more than ``most`` rows, null ones and those with null or repeated nodes."""
+    n = len(node)
+    new = _new_keys(keys)
+    run = np.cumsum(new) - 1
+    bad = np.bincount(run) > most
+    for c in (*keys, node):
+        bad[run[c.is_null().to_numpy(zero_copy_only=False)]] = True
+    both = pa.concat_arrays([node, parent]).dictionary_encode()
+    codes = pc.fill_null(both.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = len(both.dictionary) + 1
+    mine, theirs = run * size + codes[:n] + 1, run * size + codes[n:] + 1
+    order = np.argsort(mine, kind="stable")
+    mine = mine[order]
+    bad[run[order[1:][mine[1:] == mine[:-1]]]] = True
+    place = np.minimum(np.searchsorted(mine, theirs), n - 1)
+    up = np.where((codes[n:] >= 0) & (mine[place] == theirs) & ~bad[run], order[place], -1)
+    own = np.arange(n)
+    at, top, depth = up, np.where(up >= 0, up, own), (up >= 0).astype(np.int64)
+    near = np.where((up >= 0) & kind[up], up, -1)
+    reach = 1
+    while reach <= most and (at >= 0).any():
+        m = np.nonzero(at >= 0)[0]
+        a = at[m]
+        on, root, steps, seen = at[a], top[a], depth[a], near[a]
+        at, top, depth, near = at.copy(), top.copy(), depth.copy(), near.copy()
+        at[m], top[m] = on, root
+        depth[m] += steps
+        near[m] = np.where(near[m] >= 0, near[m], seen)
+        reach *= 2
+    none = (at >= 0) | bad[run]  # still climbing after more steps than rows: a cycle
+    out = {"depth": pa.array(depth, mask=none), "root": node.take(pa.array(top, mask=none)), "nearest": node.take(pa.array(near, mask=none | (near < 0)))}
+    if paths:
+        offsets = np.append(0, np.cumsum(np.where(none, 0, depth + 1)))
+        cells, rows, end = np.empty(offsets[-1], np.int64), own[~none], offsets[1:][~none] - 1
+        while len(rows):
+            cells[end] = rows
+            on = up[rows]
+            end, rows = end[on >= 0] - 1, on[on >= 0]
+        out["path"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(none, False)), node.take(pa.array(cells)))
+    return out | {"_done": pa.array(~bad[run])}
+
+
+def _climbed_by_joins(tree: DataFrame, keys: list[str], node: str, parent: str, kind: Column | None, paths: bool) -> DataFrame:
+    """``climbed`` by rounds of joins, however many rows a key has; rows that have passed their root leave them."""
     holds = F.coalesce(kind, F.lit(False)) if kind is not None else F.lit(False)
     rows = tree.select(*keys, F.col(node).alias("_n"), F.col(parent).alias("_p"), holds.alias("_k"))
     up = rows.select(*keys, F.col("_n").alias("_p"), F.lit(True).alias("_is"), F.col("_k").alias("_pk"))

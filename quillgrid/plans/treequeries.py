@@ -108,7 +108,7 @@ def tree_paths(spark, sf_dir):
     """Depth, root, nearest ancestor of an odd level and path of each row of the level trees."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).cast("bigint").alias("ord"), (F.col("l_quantity").cast("bigint") % 4).alias("level"))
-    t = N.climbed(N.level_parents(li, ["l_orderkey"], "ord", "level"), ["l_orderkey"], "ord", "parent", F.col("level") % 2 == 1, paths=True)
+    t = N.climbed(N.level_parents(li, ["l_orderkey"], "ord", "level"), ["l_orderkey"], "ord", "parent", F.col("level") % 2 == 1, paths=True, grouped=True)
     return t.select("l_orderkey", "ord", "depth", "root", "nearest", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 

@@ -161,3 +161,44 @@ def test_paths_of_random_trees_orphans_and_cycles(spark):
         else:
             assert (r.depth, r.root, r.path) == (len(way) - 1, way[-1], way[::-1]) and r.nearest == next((x for x in way[1:] if x.endswith("3")), None)
     assert N.climbed(df.limit(0), ["k"], paths=True).count() == 0
+
+
+def test_keys_of_few_rows_are_climbed_within_tasks_as_by_joins(spark, monkeypatch):
+    """Small keys take one write and no join; nulls, repeated nodes, cycles and keys over several batches come out as by joins."""
+    rng = random.Random(7)
+    rows = [(k, i, rng.choice([None, rng.randrange(i + 1), rng.randrange(40)]), rng.choice([True, False, None]), f"t{i}") for k in range(60) for i in range(rng.randrange(1, 25))]
+    odd = [(None, 1, None, True, "null key"), (None, 2, 1, True, "null key"), (90, None, 1, True, "null node"), (90, 1, None, True, "beside it"), (91, 5, None, True, "twice"), (91, 5, None, False, "twice"), (91, 6, 5, None, "under two"), (92, 1, 1, True, "own parent")]
+    long = [(95, i, i - 1 if i else None, i % 7 == 3, "chain") for i in range(70)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rounds, write = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name: rounds.append(name) or write(df, name))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        df = spark.createDataFrame(rows + odd + long, "k int, node long, parent long, kind boolean, t string").repartition(3)
+        told = lambda **how: sorted(repr(tuple(r)) for r in N.climbed(df, ["k"], kind=F.col("kind"), paths=True, **how).collect())
+        by_joins = told(together=0)
+        for together in (1, 5, 24, 69, 70, 1024):
+            assert told(together=together) == by_joins, together
+        rounds.clear()
+        got = N.climbed(df.where("k < 60"), ["k"], kind=F.col("kind"), paths=True)
+        assert got.count() == len(rows) and rounds == ["climbed"]
+        text = spark.createDataFrame([("a", "x", None), ("a", "y", "x"), ("b", "y", "x")], "k string, node string, parent string")
+        assert sorted((r.k, r.node, r.depth, r.root) for r in N.climbed(text, ["k"]).collect()) == [("a", "x", 0, "x"), ("a", "y", 1, "x"), ("b", "y", 0, "y")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_parents_of_levels_over_many_batches(spark):
+    rng = random.Random(8)
+    rows = [(k, str(k % 3), i, rng.choice([0, 1, 2, 3, 4, 50, None])) for k in range(40) for i in range(rng.randrange(60))]
+    rows += [(77, None, i, i // 2) for i in range(50)] + [(77, "x", i, -i) for i in range(50)] + [(78, None, i, None) for i in range(30)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = {(r.a, r.b, r.n): r.parent for r in N.level_parents(spark.createDataFrame(rows, "a int, b string, n long, level int").repartition(4), ["a", "b"], "n", "level").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(rows) > 1000
+    for a, b, n, level in rows:
+        before = [m for x, y, m, up in rows if (x, y) == (a, b) and m < n and up is not None and level is not None and up < level]
+        assert got[a, b, n] == max(before, default=None), (a, b, n)
