@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgrid.stages import written
+from quillgrid.stages import few, written
 
 
 def _alike(a: DataFrame, b: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
@@ -79,17 +79,27 @@ def recoloured(runs: DataFrame, written_ranges: DataFrame, styles: DataFrame, ke
     paragraph may overlap; empty ones and ids that no style has change nothing.
     """
     keys, attributes = list(keys), list(attributes)
-    place = [*keys, "p"]
+    place, style = ["p", *keys], ["id", *keys]  # what tells most rows apart comes first: joins and groups sort by it
     loud = styles.where(marked_out(F.col(colour))).select(*keys, "id", *attributes)
-    bound = written_ranges.where("start < end").groupBy(*place).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_ranges"))
-    touched = _alike(runs, bound, place, "left")
-    inside = lambda a, b: F.exists(F.coalesce("_ranges", F.array()), lambda r: (r["start"] < b) & (r["end"] > a))
-    ends = F.flatten(F.transform(F.coalesce("_ranges", F.array()), lambda r: F.array(r["start"], r["end"])))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array("start", "end"), F.filter(ends, lambda x: (x > F.col("start")) & (x < F.col("end"))))))
-    spans = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end"), inside(a, b).alias("over")))
-    pieces = written(touched.where("start < end").select(*place, "id", F.inline(spans)), "pieces")
-    wanted = _alike(pieces.where("over").select(*keys, "p", "start", "id"), loud, [*keys, "id"], "inner").withColumn(colour, F.lit(black))
+    hinted = F.broadcast if few(loud) else lambda df: df  # for what has at most a row for each loud style
+    # The bounds of a paragraph's ranges cut it into stretches (a null bound is open), worked out once for all of its runs.
+    bound = written_ranges.where("start < end").groupBy(*place).agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))
+    cuts = F.sort_array(F.array_distinct(F.flatten(F.transform("_ranges", lambda r: F.array(r["start"], r["end"])))))
+    within = lambda a, b: F.coalesce(F.exists("_ranges", lambda r: (r["start"] <= a) & (r["end"] >= b)), F.lit(False))
+    open_ = F.array(F.lit(None).cast(written_ranges.schema["start"].dataType))
+    stretches = F.zip_with(F.concat(open_, "_cuts"), F.concat("_cuts", open_), lambda a, b: F.struct(a.alias("_from"), b.alias("_to"), within(a, b).alias("over")))
+    bound = bound.withColumn("_cuts", cuts).select(*place, stretches.alias("_stretches"))
+    met = _alike(runs.where("start < end"), bound, place, "left").select(*place, "start", "end", "id", F.inline_outer("_stretches"))
+    pieces = met.select(*place, "id", F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end"), F.coalesce("over", F.lit(False)).alias("over"))
+    pieces = written(pieces.where("start < end"), "pieces")
+    # A loud style's first place by its least paragraph (null before all) and then the least start there: plain minima, for which nothing is sorted.
+    over = pieces.where("over")
+    least = over.groupBy(*style).agg(F.min("p").alias("_p"), F.count("p").alias("_told"), F.count(F.lit(1)).alias("_all"))
+    least = _alike(least.select(*style, F.when(F.col("_told") == F.col("_all"), F.col("_p")).alias("p")), hinted(loud), style, "left_semi")
+    first = _alike(over, hinted(least), [*style, "p"], "inner").groupBy(*style, "p").agg(F.min("start").alias("start"))
+    wanted = _alike(first, hinted(loud), style, "inner").withColumn(colour, F.lit(black))
     grown, answers = upserted(styles, wanted, keys, attributes, ["p", "start"])
     variants = _alike(loud.withColumn(colour, F.lit(black)), answers.withColumnRenamed("id", "_black"), [*keys, *attributes], "inner").select(*keys, "id", "_black")
-    changed = _alike(pieces.where("over"), variants, [*keys, "id"], "left").withColumn("id", F.coalesce("_black", "id")).drop("_black")
-    return grown, changed.unionByName(pieces.where("not over")).select(*place, "start", "end", "id")
+    variants = hinted(variants)
+    changed = _alike(over, variants, style, "left").withColumn("id", F.coalesce("_black", "id")).drop("_black")
+    return grown, changed.unionByName(pieces.where("not over")).select(*keys, "p", "start", "end", "id")

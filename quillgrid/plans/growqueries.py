@@ -12,6 +12,7 @@ from quillgrid.plans import fill as P
 from quillgrid.plans.queries import _MATCH_SQL, SLOTS, customer_records, query, table
 from quillgrid.plans.slotnames import names_of
 from quillgrid.sources import files as X
+from quillgrid.stages import deleted, small, written
 
 # ---- plans written into paragraphs --------------------------------------------------------
 
@@ -77,8 +78,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _styles(lines: DataFrame) -> DataFrame:
-    """Styles of each form, numbered from 0."""
-    return D.dense_numbers(lines.select("form", *_FACE).distinct(), ["form"], _FACE, "id")
+    """Styles of each form, numbered from 0; written, as they are read many times."""
+    return written(D.dense_numbers(lines.select("form", *_FACE).distinct(), ["form"], _FACE, "id"), "styles")
 
 
 @query(
@@ -110,12 +111,14 @@ SELECT form, p, "start", "end", CASE WHEN over THEN coalesce(other, piece.id) EL
 )
 def recolour_runs(spark, sf_dir):
     """Runs of text after a stretch of each paragraph was written over: marked-out colours turn black there, whatever else a style holds."""
-    lines = _lines(spark, sf_dir)
+    lines = written(_lines(spark, sf_dir), "lines")
     styles = _styles(lines)
-    runs = lines.join(styles, ["form", *_FACE]).select("form", "p", (F.col("n") * 10).alias("start"), (F.col("n") * 10 + 10).alias("end"), "id")
+    runs = lines.join(small(styles), ["form", *_FACE]).select("form", "p", (F.col("n") * 10).alias("start"), (F.col("n") * 10 + 10).alias("end"), "id")
     k = F.col("o_orderkey")
     over = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("form"), k.alias("p"), (k % 20 + 5).alias("start"), (k % 20 + 5 + k % 30).alias("end"))
-    return D.recoloured(runs, over, styles, ["form"], _FACE)[1]
+    _, changed = D.recoloured(runs, over, styles, ["form"], _FACE)
+    deleted(lines)  # what is changed reads pieces, which are written
+    return changed
 
 
 # ---- constraints --------------------------------------------------------------------------

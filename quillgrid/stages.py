@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a dictionary (a few short attributes each) that may be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +40,13 @@ def deleted(*frames: DataFrame) -> None:
             context = df.sparkSession.sparkContext
             p = context._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most ``rows`` rows (counted up to there; df should be written or cheap)."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most ``rows`` rows, else df as it is."""
+    return F.broadcast(df) if few(df, rows) else df

@@ -53,6 +53,60 @@ def test_written_text_turns_black_and_nothing_else(spark):
     assert [r[0] for r in colours.select(D.marked_out(F.col("c"))).collect()] == [False, True, False, True, False, False]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_many_ranges_and_nulls_turn_black_as_by_force(spark, monkeypatch, broadcast):
+    """Pieces, colours and the order of new styles, over ranges that overlap, touch or repeat, with null keys and paragraphs."""
+    if not broadcast:
+        monkeypatch.setattr(D, "few", lambda df: False)
+    rng = random.Random(12)
+    styles = [(f, i, rng.choice([9, 10, None]), rng.choice(["#000000", "#ff0000", "#0000ff", "#ffffff", None])) for f in ("f", "g", None) for i in range(9)]
+    paragraphs = [(f, p) for f in ("f", "g", None) for p in [None, *range(12)]]
+    runs = [(f, p, 7 * i, 7 * i + rng.choice([0, 5, 7]), rng.choice([*range(10), None])) for f, p in paragraphs for i in range(rng.randrange(6))]
+    over = [(f, p, a, a + rng.choice([0, 1, 4, 15])) for f, p in paragraphs for a in (rng.randrange(40) for _ in range(rng.randrange(5)))]
+    over += over[:9]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(4)
+    grown, changed = D.recoloured(make(runs, "form string, p int, start int, end int, id int"), make(over, "form string, p int, start int, end int"), make(styles, "form string, id int, size int, colour string"), ["form"], ["size", "colour"])
+    cut = []
+    for f, p, a, b, i in runs:
+        mine = [(s, e) for g, q, s, e in over if (g, q) == (f, p) and s < e]
+        at = sorted({a, b} | {x for r in mine for x in r if a < x < b})
+        cut += [(f, p, s, e, i, any(x < e and y > s for x, y in mine)) for s, e in zip(at, at[1:])]
+    of, want, book = {(f, i): (n, c) for f, i, n, c in styles}, {}, list(styles)
+    for f, p, s, e, i, black in sorted(cut, key=lambda c: (c[1] is not None, c[1] or 0, c[2])):
+        n, c = of.get((f, i), (None, None))
+        if black and c in ("#ff0000", "#0000ff"):
+            same = [x for g, x, m, d in book if (g, m, d) == (f, n, "#000000")]
+            if not same:
+                same = [1 + max(x for g, x, *_ in book if g == f)]
+                book.append((f, same[0], n, "#000000"))
+            i = min(same)
+        want.setdefault((f, p, s, e), []).append(i)
+    assert sorted(map(repr, map(tuple, changed.collect()))) == sorted(repr((*k, i)) for k, ids in want.items() for i in ids)
+    assert sorted(map(repr, map(tuple, grown.collect()))) == sorted(map(repr, book)) and len(book) > len(styles)
+
+
+def test_lines_are_read_once_and_first_places_are_found_without_sorting_pieces(spark, monkeypatch):
+    from quillgrid.plans import growqueries as G
+
+    plans, write = {}, D.written
+
+    def watched(df, name):
+        plans[name] = df.inputFiles(), df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    def asked(entries, wanted, *how):
+        plans["wanted"] = [], wanted._jdf.queryExecution().executedPlan().toString()
+        return upsert(entries, wanted, *how)
+
+    upsert = D.upserted
+    monkeypatch.setattr(D, "upserted", asked)
+    monkeypatch.setattr(D, "written", watched)
+    monkeypatch.setattr(G, "written", watched, raising=False)
+    got = G.recolour_runs(spark, "/root/testdata/sf0.001")
+    assert got.count() and [n for n, (files, _) in plans.items() if any("lineitem" in f for f in files)] == ["lines"]
+    assert "HashAggregate" in plans["wanted"][1] and "SortAggregate" not in plans["wanted"][1] and "BroadcastHashJoin" in plans["pieces"][1]
+
+
 def _constraints(spark):
     there = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int")
     return [K.Holds("positive", F.col("n") > 0, share=0.5), K.Holds("short", F.length("t") < 3, F.col("n") > 1), K.Refers("no such id", ("ref",), there, ("id",)), K.Once("twice", ("ref", "n"))]
